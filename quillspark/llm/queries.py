@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .cross_split import overlap_pairs, overlap_report
+from .format_copies import copy_counts, format_copies
+from .lookalikes import lookalike_pairs
 from .near_duplicates import near_duplicates
 
 
@@ -17,8 +20,28 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "tinystories"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return lookalike_pairs(_table(spark, folder, "tinystories"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return format_copies(_table(spark, folder, "tinystories"))
+
+
+def p3_copy_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return copy_counts(_table(spark, folder, "tinystories"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap_pairs(_table(spark, folder, "tinystories"), _table(spark, folder, "data_integrity"))
+
+
+def p5_report(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap_report(_table(spark, folder, "tinystories"), _table(spark, folder, "data_integrity"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found,)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_copy_counts, p5_found, p5_report)}
 
 
 def oracle_sql() -> dict[str, str]:
