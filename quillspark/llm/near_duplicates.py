@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bitmap import membership_bitmap, only_possible
 from .charforms import count_letters_and_digits, letters_and_digits, one_form, record_key, word_text
 from .wordhash import WordHashes, chunks
 
@@ -262,8 +263,11 @@ def _similar_rows(options: NearDuplicateOptions):
 
 
 def verified_pairs(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, options: NearDuplicateOptions) -> DataFrame:
-    """The pairs (lo, hi) whose texts are similar, by their whole sets of word sequences."""
-    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    """The pairs (lo, hi) whose texts are similar, by their whole sets of word sequences. Only texts that may be in a
+    pair are shuffled."""
+    pairs = pairs.persist()
+    bits = membership_bitmap(pairs, 2 * pairs.count())
+    text = only_possible(docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), bits)
     return (
         pairs.join(text.select(F.col("id").alias("lo"), F.col("text").alias("lo_text")), "lo")
         .join(text.select(F.col("id").alias("hi"), F.col("text").alias("hi_text")), "hi")
@@ -294,7 +298,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "story_id", text_col: str = "
     gives an empty result.
     """
     table = fingerprint_table(docs, id_col, text_col, options).persist()
-    reps = table.groupBy("record").agg(F.min(F.struct("id", "print")).alias("rep")).select("record", F.col("rep.id").alias("rep"), F.col("rep.print").alias("print"))
+    reps = table.groupBy("record").agg(F.min(F.struct("id", "print")).alias("rep")).select("record", F.col("rep.id").alias("rep"), F.col("rep.print").alias("print")).persist()
     prints = reps.where("print is not null").select(F.col("rep").alias("id"), "print")
     near = (
         candidate_pairs(prints, options)
