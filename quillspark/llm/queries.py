@@ -5,11 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .cross_split import overlap_pairs, overlap_report
+from .encode import corpus_ids, with_token_counts
 from .format_copies import copy_counts, format_copies
+from .leakage import leak_report, leaked_items
 from .lookalikes import lookalike_pairs
+from .mixing import mixture, mixture_shares
 from .near_duplicates import near_duplicates
+from .spam import page_curves, spam_pages
+from .splits import with_role
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,6 +38,21 @@ def p3_copy_counts(spark: SparkSession, folder: str) -> DataFrame:
     return copy_counts(_table(spark, folder, "tinystories"))
 
 
+def _leak_texts(spark: SparkSession, folder: str) -> DataFrame:
+    train = with_role(_table(spark, folder, "tinystories").select("story_id", "source", "hub_split", "text"), _table(spark, folder, "data_integrity")).where("role = 'train'")
+    stories = train.select(F.lit("tinystories").alias("record_table"), F.col("story_id").alias("record_id"), "text")
+    records = _table(spark, folder, "memorization_records")
+    return stories.union(records.select(F.lit("memorization_records").alias("record_table"), "record_id", F.col("nearest_training_example").alias("text")))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaked_items(_leak_texts(spark, folder), _table(spark, folder, "heldout_items"))
+
+
+def p4_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
+    return leak_report(p4_found(spark, folder), _table(spark, folder, "heldout_items"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return overlap_pairs(_table(spark, folder, "tinystories"), _table(spark, folder, "data_integrity"))
 
@@ -40,8 +61,34 @@ def p5_report(spark: SparkSession, folder: str) -> DataFrame:
     return overlap_report(_table(spark, folder, "tinystories"), _table(spark, folder, "data_integrity"))
 
 
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_ids(_table(spark, folder, "documents"))
+
+
+def p6_tokens_by_source(spark: SparkSession, folder: str) -> DataFrame:
+    counts = with_token_counts(_table(spark, folder, "documents").select("source", "text"))
+    return counts.groupBy("source").agg(F.count("*").alias("documents"), F.sum("tokens").alias("tokens"))
+
+
+def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture(_table(spark, folder, "documents"), _table(spark, folder, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture_shares(_table(spark, folder, "documents"), _table(spark, folder, "mix_targets"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spam_pages(_table(spark, folder, "documents"))
+
+
+def p8_curves(spark: SparkSession, folder: str) -> DataFrame:
+    return page_curves(_table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_copy_counts, p5_found, p5_report)}
+    found = (p1_found, p2_found, p3_found, p3_copy_counts, p4_found, p4_leaked_items, p5_found, p5_report, p6_ids, p6_tokens_by_source)
+    return {f.__name__: f for f in (*found, p7_mixture, p7_shares, p8_found, p8_curves)}
 
 
 def oracle_sql() -> dict[str, str]:
