@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import corpus
+
+_FAMILIES = (corpus.QUERIES,)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    """Each query takes the session and a folder of tables."""
+    return {name: query for family in _FAMILIES for name, (query, _) in family.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL with the same rows, for the queries that SQL can express over whole tables."""
+    return {name: sql for family in _FAMILIES for name, (_, sql) in family.items() if sql}
