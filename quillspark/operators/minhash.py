@@ -38,7 +38,11 @@ def native_signatures(docs: DataFrame, id_col: str, items: Column, options: MinH
     """(id_col, signature ARRAY<STRING>): the least MD5 of "permutation:shingle" for each permutation. Every engine
     computes the same; documents shorter than a shingle have no row."""
     grams = docs.select(id_col, items.alias("_items")).where(F.size("_items") >= options.shingle).select(id_col, F.array_distinct(ngrams(F.col("_items"), options.shingle)).alias("grams"))
-    least = [F.array_min(F.transform("grams", lambda g, p=p: F.md5(F.concat(F.lit(f"{p}:"), g)))) for p in range(options.permutations)]
+
+    def permuted(p: int):
+        return lambda g: F.md5(F.concat(F.lit(f"{p}:"), g))
+
+    least = [F.array_min(F.transform("grams", permuted(p))) for p in range(options.permutations)]
     return grams.select(id_col, F.array(*least).alias("signature"))
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus
+from . import corpus, language, packing, similarity
 
-_FAMILIES = (corpus.QUERIES,)
+_FAMILIES = (corpus.QUERIES, language.QUERIES, packing.QUERIES, similarity.QUERIES)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
