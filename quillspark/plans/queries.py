@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus, language, packing, similarity
+from . import corpus, language, memorization, packing, similarity, tracking
 
-_FAMILIES = (corpus.QUERIES, language.QUERIES, packing.QUERIES, similarity.QUERIES)
+_FAMILIES = (corpus.QUERIES, language.QUERIES, packing.QUERIES, similarity.QUERIES, memorization.QUERIES, tracking.QUERIES)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
