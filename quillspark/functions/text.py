@@ -155,6 +155,12 @@ def repeated_fraction(items: Column) -> Column:
     return F.when(F.size(items) > 0, (F.size(items) - F.size(F.array_distinct(items))) / F.size(items)).otherwise(F.lit(0.0))
 
 
+def once(column: Column) -> Column:
+    """The same column as the output of a generator: what uses it later doesn't compute it again, as the optimizer
+    would by pulling a costly expression into each use. Stands alone in a select."""
+    return F.explode(F.array(column))
+
+
 def byte_tokens(text: Column) -> Column:
     """Ids of the byte tokenizer: each UTF-8 byte plus 2 (0 ends a document, 1 pads)."""
     digits = F.regexp_extract_all(F.hex(F.encode(text, "utf-8")), F.lit("(..)"), F.lit(1))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ngrams
+from ..functions.wordhash import ASCII_WORDS, WordHashes, chunks
 
 
 @dataclass(frozen=True)
@@ -35,39 +36,48 @@ class MinHashOptions:
 
 
 def native_signatures(docs: DataFrame, id_col: str, items: Column, options: MinHashOptions) -> DataFrame:
-    """(id_col, signature ARRAY<STRING>): the least MD5 of "permutation:shingle" for each permutation. Every engine
-    computes the same; documents shorter than a shingle have no row."""
+    """(id_col, signature ARRAY<STRING>): the least of 8 hexadecimal digits of MD5 for each permutation; the MD5 of
+    "q:shingle" gives permutations 4q to 4q + 3. Every engine computes the same; documents shorter than a shingle have
+    no row."""
     grams = docs.select(id_col, items.alias("_items")).where(F.size("_items") >= options.shingle).select(id_col, F.array_distinct(ngrams(F.col("_items"), options.shingle)).alias("grams"))
 
-    def permuted(p: int):
-        return lambda g: F.md5(F.concat(F.lit(f"{p}:"), g))
+    def digests(q: int):
+        return lambda g: F.md5(F.concat(F.lit(f"{q}:"), g))
 
-    least = [F.array_min(F.transform("grams", permuted(p))) for p in range(options.permutations)]
-    return grams.select(id_col, F.array(*least).alias("signature"))
+    def part(p: int):
+        return lambda h: F.substring(h, 8 * (p % 4) + 1, 8)
 
+    hashed = grams.select(id_col, *(F.transform("grams", digests(q)).alias(f"_h{q}") for q in range((options.permutations + 3) // 4)))
+    least = [F.array_min(F.transform(f"_h{p // 4}", part(p))) for p in range(options.permutations)]
+    return hashed.select(id_col, F.array(*least).alias("signature"))
 
-def numeric_signatures(docs: DataFrame, id_col: str, items: Column, options: MinHashOptions) -> DataFrame:
-    """(id_col, signature ARRAY<BIGINT>) with multiply-add hashes modulo 2**64 over 64-bit shingle hashes, in numpy."""
-    long = docs.select(id_col, items.alias("_items")).where(F.size("_items") >= options.shingle)
-    grams = long.select(id_col, F.transform(F.array_distinct(ngrams(F.col("_items"), options.shingle)), lambda g: F.xxhash64(g)).alias("grams"))
+
+def numeric_signatures(docs: DataFrame, id_col: str, text_col: str, options: MinHashOptions) -> DataFrame:
+    """(id_col, signature ARRAY<BIGINT>) with multiply-add hashes modulo 2**64 over 64-bit shingle hashes, in numpy;
+    words as functions.text.words has them. Documents shorter than a shingle have no row: with the same signature for
+    all of them they would count as copies of each other."""
     rng = np.random.Generator(np.random.PCG64(options.seed))
     a = rng.integers(0, 2**64, options.permutations, dtype=np.uint64) | np.uint64(1)
     b = rng.integers(0, 2**64, options.permutations, dtype=np.uint64)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(1)
-            if not batch.num_rows:
-                continue
-            values = column.flatten().to_numpy().view(np.uint64)
-            first = column.offsets.to_numpy()[:-1] - column.offsets[0].as_py()
-            out = np.empty((batch.num_rows, options.permutations), np.uint64)
-            for p in range(options.permutations):
-                out[:, p] = np.minimum.reduceat(values * a[p] + b[p], first)
-            ends = np.arange(0, out.size + 1, options.permutations, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(out.view(np.int64).ravel()))], names=[id_col, "signature"])
-
-    return grams.mapInArrow(rows, f"{id_col} {grams.dtypes[0][1]}, signature array<bigint>")
+            lower = [t.lower() for t in batch.column(1).to_pylist()]
+            for begin, end in chunks(lower):
+                words = WordHashes(lower[begin:end], ASCII_WORDS)
+                gram, where = words.grams(options.shingle)
+                if not len(gram):
+                    continue
+                doc = words.doc[where]
+                first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+                out = np.empty((len(first), options.permutations), np.uint64)
+                for p in range(options.permutations):
+                    out[:, p] = np.minimum.reduceat(gram * a[p] + b[p], first)
+                ends = np.arange(0, out.size + 1, options.permutations, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(begin + doc[first])), pa.ListArray.from_arrays(pa.array(ends), pa.array(out.view(np.int64).ravel()))], names=[id_col, "signature"])
+
+    used = docs.where(F.col(text_col).isNotNull()).select(id_col, text_col)
+    return used.mapInArrow(rows, f"{id_col} {used.dtypes[0][1]}, signature array<bigint>")
 
 
 def band_rows(signatures: DataFrame, id_col: str, options: MinHashOptions) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import Normalization, bucket, content_hash, in_fraction, normalize_text
+from ..functions.text import Normalization, bucket, content_hash, in_fraction, normalize_text, once
 
 
 @dataclass(frozen=True)
@@ -25,8 +25,9 @@ class SplitOptions:
 
 def prepared(docs: DataFrame, options: SplitOptions, text_col: str = "text") -> DataFrame:
     """docs with normalized text, its hash and at least min_chars characters; the filter comes after normalization."""
-    clean = docs.where(F.col(text_col).isNotNull()).withColumn(text_col, normalize_text(F.col(text_col), options.normalization))
-    return clean.where(F.char_length(text_col) >= options.min_chars).withColumn("hash", content_hash(F.col(text_col)))
+    rest = [c for c in docs.columns if c != text_col]
+    clean = docs.where(F.col(text_col).isNotNull()).select(*rest, once(normalize_text(F.col(text_col), options.normalization)).alias(text_col))
+    return clean.where(F.char_length(text_col) >= options.min_chars).select(*rest, text_col, once(content_hash(F.col(text_col))).alias("hash"))
 
 
 def build_splits(train: DataFrame, test: DataFrame, options: SplitOptions = SplitOptions(), id_col: str = "story_id", text_col: str = "text") -> DataFrame:
@@ -37,11 +38,12 @@ def build_splits(train: DataFrame, test: DataFrame, options: SplitOptions = Spli
     if options.decontaminate:
         held = held.join(source.select("hash").distinct(), "hash", "left_anti").select(id_col, text_col, "hash")
     hold_out = in_fraction(F.col("hash"), options.validation_fraction)
-    kept, validation = source.where(~hold_out), source.where(hold_out)
-    if options.max_train is not None:
-        kept = seeded_sample(kept, id_col, options.max_train, options.seed)
-    split = lambda df, name: df.select(id_col, text_col, "hash", F.lit(name).alias("split"))
-    return split(kept, "train").unionByName(split(validation, "validation")).unionByName(split(held, "test"))
+    split = lambda df, name: df.select(id_col, text_col, "hash", name.alias("split"))
+    held = split(held, F.lit("test"))
+    if options.max_train is None:
+        return split(source, F.when(hold_out, "validation").otherwise("train")).unionByName(held)
+    kept = seeded_sample(source.where(~hold_out), id_col, options.max_train, options.seed)
+    return split(kept, F.lit("train")).unionByName(split(source.where(hold_out), F.lit("validation"))).unionByName(held)
 
 
 def seeded_sample(rows: DataFrame, id_col: str, n: int, seed: int = 0) -> DataFrame:

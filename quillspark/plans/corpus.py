@@ -118,7 +118,7 @@ def cross_split_copies(spark: SparkSession, folder: str) -> DataFrame:
 def ngram_containment(spark: SparkSession, folder: str) -> DataFrame:
     """13-word containment of test and validation stories in the training stories."""
     rows = corpus(spark, folder).where("text is not null")
-    found = containment(rows.where("role = 'train'"), rows.where("role <> 'train'"), "story_id", words(F.col("text")), words(F.col("text")), (13,))
+    found = containment(rows.where("role = 'train'"), rows.where("role <> 'train'"), "story_id", "story_id")
     return found.select("story_id", "grams", "matched", "containment")
 
 
@@ -131,7 +131,7 @@ def ngram_scan(spark: SparkSession, folder: str) -> DataFrame:
     """8-, 16- and 32-word n-grams of generated texts found in the training stories."""
     train = corpus(spark, folder).where("role = 'train' and text is not null")
     queries = table(spark, folder, "memorization_records").where("text is not null").select("record_id", "text")
-    return containment(train, queries, "record_id", words(F.col("text")), words(F.col("text")), (8, 16, 32))
+    return containment(train, queries, "story_id", "record_id", ns=(8, 16, 32))
 
 
 def sample_stories(spark: SparkSession, folder: str) -> DataFrame:

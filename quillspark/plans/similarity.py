@@ -52,7 +52,7 @@ def cross_near_dup(spark: SparkSession, folder: str) -> DataFrame:
 def minhash_128(spark: SparkSession, folder: str) -> DataFrame:
     """Near duplicates with 128 numeric permutations in 16 bands."""
     docs = table(spark, folder, "tinystories").where("text is not null").select("story_id", "text")
-    signatures = minhash.numeric_signatures(docs, "story_id", words(F.col("text")), _FULL).persist()
+    signatures = minhash.numeric_signatures(docs, "story_id", "text", _FULL).persist()
     return minhash.near_duplicate_pairs(signatures, "story_id", _FULL)
 
 
@@ -84,7 +84,7 @@ def embedding_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _GRAMS = lambda rows: f"g AS (SELECT story_id, list_distinct({S.grams('w', 5)}) AS g FROM (SELECT story_id, {S.words('text')} AS w FROM {rows} WHERE text IS NOT NULL) WHERE len(w) >= 5)"
-_SIG = "e AS (SELECT story_id, unnest(g) AS x FROM g), pm AS (SELECT unnest(range(16)) AS p), m AS (SELECT story_id, p, min(md5(p || ':' || x)) AS v FROM e, pm GROUP BY story_id, p), sig AS (SELECT story_id, list(v ORDER BY p) AS s FROM m GROUP BY story_id)"
+_SIG = "e AS (SELECT story_id, unnest(g) AS x FROM g), pm AS (SELECT unnest(range(16)) AS p), h AS (SELECT story_id, q, md5(q || ':' || x) AS d FROM e, (SELECT unnest(range(4)) AS q)), m AS (SELECT story_id, p, min(substr(d, (8 * (p % 4) + 1)::BIGINT, 8)) AS v FROM h JOIN pm ON q = p // 4 GROUP BY story_id, p), sig AS (SELECT story_id, list(v ORDER BY p) AS s FROM m GROUP BY story_id)"
 _BANDS = "bd AS (SELECT story_id, b.band, md5(array_to_string(s[b.band * 4 + 1:b.band * 4 + 4], ',')) AS bucket FROM sig, (SELECT unnest(range(4)) AS band) b)"
 _CAP = f"{_BANDS}, cp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY band, bucket ORDER BY story_id) AS r FROM bd) WHERE r <= 50), cand AS (SELECT DISTINCT a.story_id AS lo, b.story_id AS hi FROM cp a JOIN cp b ON a.band = b.band AND a.bucket = b.bucket AND a.story_id < b.story_id)"
 _SIM = "list_sum(list_transform(range(1, 17), lambda i: (a.s[i] = b.s[i])::INT)) / 16.0"
