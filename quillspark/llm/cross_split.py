@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bitmap import MAX_BYTES, contains, membership_bitmap, only_possible
+from ..functions.wordhash import WordHashes, chunks
+from ..operators.bitmap import MAX_BYTES, contains, membership_bitmap, only_possible
+from ..operators.protocol import with_role
 from .charforms import count_letters_and_digits, letters_and_digits, one_form, record_key, word_text
 from .near_duplicates import NearDuplicateOptions, fingerprints, similar
-from .splits import with_role
-from .wordhash import WordHashes, chunks
 
 
 @dataclass(frozen=True)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bitmap import membership_bitmap, only_possible
+from ..operators.bitmap import membership_bitmap, only_possible
 from .charforms import LABELS, count_letters_and_digits, letters_and_digits, one_form, record_fields, record_key
 
 

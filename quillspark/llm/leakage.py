@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.wordhash import WordHashes, chunks
 from .charforms import one_form, word_text
-from .wordhash import WordHashes, chunks
 
 
 @dataclass(frozen=True)

@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bitmap import membership_bitmap, only_possible
+from ..functions.wordhash import WordHashes, chunks
+from ..operators.bitmap import membership_bitmap, only_possible
 from .charforms import count_letters_and_digits, letters_and_digits, one_form, record_key, word_text
-from .wordhash import WordHashes, chunks
 
 
 @dataclass(frozen=True)
