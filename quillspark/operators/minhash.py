@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,7 +12,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ngrams
 from ..functions.wordhash import ASCII_WORDS, WordHashes, chunks
 
 
@@ -35,21 +36,30 @@ class MinHashOptions:
         return self.permutations // self.bands
 
 
-def native_signatures(docs: DataFrame, id_col: str, items: Column, options: MinHashOptions) -> DataFrame:
-    """(id_col, signature ARRAY<STRING>): the least of 8 hexadecimal digits of MD5 for each permutation; the MD5 of
-    "q:shingle" gives permutations 4q to 4q + 3. Every engine computes the same; documents shorter than a shingle have
-    no row."""
-    grams = docs.select(id_col, items.alias("_items")).where(F.size("_items") >= options.shingle).select(id_col, F.array_distinct(ngrams(F.col("_items"), options.shingle)).alias("grams"))
+def md5_signatures(docs: DataFrame, id_col: str, text_col: str, options: MinHashOptions) -> DataFrame:
+    """(id_col, signature ARRAY<BIGINT>) that any engine can compute: permutation p is the least of the 32-bit words
+    number p % 4 of MD5("q:shingle") with q = p // 4. Documents shorter than a shingle have no row."""
+    seeds = [f"{q}:".encode() for q in range(-(-options.permutations // 4))]
 
-    def digests(q: int):
-        return lambda g: F.md5(F.concat(F.lit(f"{q}:"), g))
-
-    def part(p: int):
-        return lambda h: F.substring(h, 8 * (p % 4) + 1, 8)
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, md5, n = re.compile("[a-z0-9']+").findall, hashlib.md5, options.shingle
+        for batch in batches:
+            at, out = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                words = find(text.lower())
+                if len(words) < n:
+                    continue
+                grams = {" ".join(words[k : k + n]).encode() for k in range(len(words) - n + 1)}
+                least = [np.frombuffer(b"".join([md5(q + g).digest() for g in grams]), ">u4").reshape(-1, 4).min(0) for q in seeds]
+                at.append(i)
+                out.append(np.concatenate(least)[: options.permutations])
+            if at:
+                flat = np.concatenate(out).astype(np.int64)
+                ends = np.arange(0, len(flat) + 1, options.permutations, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[id_col, "signature"])
 
-    hashed = grams.select(id_col, *(F.transform("grams", digests(q)).alias(f"_h{q}") for q in range((options.permutations + 3) // 4)))
-    least = [F.array_min(F.transform(f"_h{p // 4}", part(p))) for p in range(options.permutations)]
-    return hashed.select(id_col, F.array(*least).alias("signature"))
+    used = docs.where(F.col(text_col).isNotNull()).select(id_col, text_col)
+    return used.mapInArrow(rows, f"{id_col} {used.dtypes[0][1]}, signature array<bigint>")
 
 
 def numeric_signatures(docs: DataFrame, id_col: str, text_col: str, options: MinHashOptions) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import BLANK, Normalization, bucket, content_hash, in_fraction, ngrams, normalize_text, repeated_fraction, sentences, words
@@ -17,7 +17,7 @@ _OPTIONS = SplitOptions(validation_fraction=0.05)
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
     """Stories with their role; only columns that the queries use are read."""
-    stories = table(spark, folder, "tinystories").select("story_id", "text", "source", "hub_split")
+    stories = table(spark, folder, "tinystories", "story_id", "text", "source", "hub_split")
     return with_role(stories, table(spark, folder, "data_integrity"))
 
 
@@ -28,12 +28,12 @@ def splits(spark: SparkSession, folder: str) -> DataFrame:
 
 def normalize_stories(spark: SparkSession, folder: str) -> DataFrame:
     text = normalize_text(F.col("text"))
-    return table(spark, folder, "tinystories").select("story_id", text.alias("t")).select("story_id", F.md5("t").alias("text_md5"), F.char_length("t").alias("chars"))
+    return table(spark, folder, "tinystories", "story_id", "text").select("story_id", text.alias("t")).select("story_id", F.md5("t").alias("text_md5"), F.char_length("t").alias("chars"))
 
 
 def normalize_ascii(spark: SparkSession, folder: str) -> DataFrame:
     text = normalize_text(F.col("text"), Normalization("none", ascii_punctuation=True, strip_non_ascii=True))
-    return table(spark, folder, "tinystories").select("story_id", text.alias("t")).select("story_id", F.md5("t").alias("text_md5"), F.char_length("t").alias("chars"))
+    return table(spark, folder, "tinystories", "story_id", "text").select("story_id", text.alias("t")).select("story_id", F.md5("t").alias("text_md5"), F.char_length("t").alias("chars"))
 
 
 def text_lengths(spark: SparkSession, folder: str) -> DataFrame:
@@ -42,29 +42,27 @@ def text_lengths(spark: SparkSession, folder: str) -> DataFrame:
 
 def dedup_keys(spark: SparkSession, folder: str) -> DataFrame:
     h = content_hash(F.col("text"))
-    return table(spark, folder, "tinystories").where("text is not null").select("story_id", h.alias("hash")).select("story_id", "hash", bucket(F.col("hash")).alias("bucket"), in_fraction(F.col("hash"), 0.05).alias("held_out"))
+    return table(spark, folder, "tinystories", "story_id", "text").where("text is not null").select("story_id", h.alias("hash")).select("story_id", "hash", bucket(F.col("hash")).alias("bucket"), in_fraction(F.col("hash"), 0.05).alias("held_out"))
 
 
 def word_counts(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "tinystories").where("text is not null").select("story_id", words(F.col("text")).alias("w"))
+    rows = table(spark, folder, "tinystories", "story_id", "text").where("text is not null").select("story_id", words(F.col("text")).alias("w"))
     return rows.select("story_id", F.size("w").alias("words"), F.size(F.array_distinct("w")).alias("distinct_words"))
 
 
 def ngram_repetition(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "tinystories").where("text is not null").select("story_id", words(F.col("text")).alias("w")).select("story_id", ngrams(F.col("w"), 4).alias("g"))
+    rows = table(spark, folder, "tinystories", "story_id", "text").where("text is not null").select("story_id", words(F.col("text")).alias("w")).select("story_id", ngrams(F.col("w"), 4).alias("g"))
     return rows.select("story_id", F.size("g").alias("grams"), F.round(repeated_fraction(F.col("g")), 9).alias("repeated"))
 
 
 def sentence_counts(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "tinystories").where("text is not null").select("story_id", sentences(F.col("text")).alias("s"))
+    rows = table(spark, folder, "tinystories", "story_id", "text").where("text is not null").select("story_id", sentences(F.col("text")).alias("s"))
     return rows.select("story_id", F.size("s").alias("sentences"), (F.size("s") - F.size(F.array_distinct("s"))).alias("repeated"))
 
 
 def repeated_sentences(spark: SparkSession, folder: str) -> DataFrame:
     """Sentences that occurred before in the same completion, with their place."""
-    rows = table(spark, folder, "tinystories").where("text is not null").select("story_id", F.posexplode(sentences(F.col("text"))).alias("place", "sentence"))
-    from pyspark.sql import Window
-
+    rows = table(spark, folder, "tinystories", "story_id", "text").where("text is not null").select("story_id", F.posexplode(sentences(F.col("text"))).alias("place", "sentence"))
     seen = F.row_number().over(Window.partitionBy("story_id", "sentence").orderBy("place"))
     return rows.withColumn("seen", seen).where("seen > 1").groupBy("story_id").agg(F.count("*").alias("repeats"), F.min("place").alias("first_repeat"))
 
@@ -104,7 +102,7 @@ def dup_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dup_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "tinystories").where("text is not null").select("story_id", content_hash(F.col("text")).alias("hash"))
+    rows = table(spark, folder, "tinystories", "story_id", "text").where("text is not null").select("story_id", content_hash(F.col("text")).alias("hash"))
     return rows.groupBy("hash").agg(F.count("*").alias("copies"), F.min("story_id").alias("first_id")).where("copies > 1").select("first_id", "copies")
 
 

@@ -14,7 +14,7 @@ _BLOCK = 512
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").where("text is not null").select(F.col("doc_id").alias("id"), "lang", "text")
+    return table(spark, folder, "documents", "doc_id", "lang", "text").where("text is not null").select(F.col("doc_id").alias("id"), "lang", "text")
 
 
 def byte_documents(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import words
 from ..operators import minhash, retrieval
 from ..sources.tables import table
 from . import sql as S
@@ -16,12 +15,12 @@ _FULL = minhash.MinHashOptions()
 
 
 def _signatures(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "tinystories").where("text is not null").select("story_id", "text")
-    return minhash.native_signatures(docs, "story_id", words(F.col("text")), _NATIVE).persist()
+    docs = table(spark, folder, "tinystories", "story_id", "text")
+    return minhash.md5_signatures(docs, "story_id", "text", _NATIVE).persist()
 
 
 def minhash_signatures(spark: SparkSession, folder: str) -> DataFrame:
-    return _signatures(spark, folder).select("story_id", F.md5(F.array_join("signature", ",")).alias("signature_md5"))
+    return _signatures(spark, folder).select("story_id", F.md5(F.array_join(F.transform("signature", lambda x: x.cast("string")), ",")).alias("signature_md5"))
 
 
 def lsh_candidates(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,19 +44,19 @@ def near_dup_examples(spark: SparkSession, folder: str) -> DataFrame:
 def cross_near_dup(spark: SparkSession, folder: str) -> DataFrame:
     """Test stories with a near duplicate in the training stories."""
     rows = corpus(spark, folder).where("text is not null").select("story_id", "role", "text")
-    sign = lambda role: minhash.native_signatures(rows.where(F.col("role") == role), "story_id", words(F.col("text")), _NATIVE).persist()
+    sign = lambda role: minhash.md5_signatures(rows.where(F.col("role") == role), "story_id", "text", _NATIVE).persist()
     return minhash.cross_near_duplicates(sign("train"), sign("test"), "story_id", _NATIVE)
 
 
 def minhash_128(spark: SparkSession, folder: str) -> DataFrame:
     """Near duplicates with 128 numeric permutations in 16 bands."""
-    docs = table(spark, folder, "tinystories").where("text is not null").select("story_id", "text")
+    docs = table(spark, folder, "tinystories", "story_id", "text")
     signatures = minhash.numeric_signatures(docs, "story_id", "text", _FULL).persist()
     return minhash.near_duplicate_pairs(signatures, "story_id", _FULL)
 
 
 def _weights(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, folder, "documents").where("text is not null").select("doc_id", "text")
+    docs = table(spark, folder, "documents", "doc_id", "text").where("text is not null")
     counts = retrieval.term_counts(docs, "doc_id", "text")
     return counts, retrieval.inverse_frequencies(counts, "doc_id", docs)
 
@@ -84,7 +83,7 @@ def embedding_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _GRAMS = lambda rows: f"g AS (SELECT story_id, list_distinct({S.grams('w', 5)}) AS g FROM (SELECT story_id, {S.words('text')} AS w FROM {rows} WHERE text IS NOT NULL) WHERE len(w) >= 5)"
-_SIG = "e AS (SELECT story_id, unnest(g) AS x FROM g), pm AS (SELECT unnest(range(16)) AS p), h AS (SELECT story_id, q, md5(q || ':' || x) AS d FROM e, (SELECT unnest(range(4)) AS q)), m AS (SELECT story_id, p, min(substr(d, (8 * (p % 4) + 1)::BIGINT, 8)) AS v FROM h JOIN pm ON q = p // 4 GROUP BY story_id, p), sig AS (SELECT story_id, list(v ORDER BY p) AS s FROM m GROUP BY story_id)"
+_SIG = "e AS (SELECT story_id, unnest(g) AS x FROM g), pm AS (SELECT unnest(range(16)) AS p), h AS (SELECT story_id, q, md5(q || ':' || x) AS d FROM e, (SELECT unnest(range(4)) AS q)), m AS (SELECT story_id, p, min(('0x' || substr(d, (8 * (p % 4) + 1)::BIGINT, 8))::BIGINT) AS v FROM h JOIN pm ON q = p // 4 GROUP BY story_id, p), sig AS (SELECT story_id, list(v ORDER BY p) AS s FROM m GROUP BY story_id)"
 _BANDS = "bd AS (SELECT story_id, b.band, md5(array_to_string(s[b.band * 4 + 1:b.band * 4 + 4], ',')) AS bucket FROM sig, (SELECT unnest(range(4)) AS band) b)"
 _CAP = f"{_BANDS}, cp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY band, bucket ORDER BY story_id) AS r FROM bd) WHERE r <= 50), cand AS (SELECT DISTINCT a.story_id AS lo, b.story_id AS hi FROM cp a JOIN cp b ON a.band = b.band AND a.bucket = b.bucket AND a.story_id < b.story_id)"
 _SIM = "list_sum(list_transform(range(1, 17), lambda i: (a.s[i] = b.s[i])::INT)) / 16.0"

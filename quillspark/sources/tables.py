@@ -5,9 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The Parquet table name in folder."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+#: Scans below this estimate are not worth a shuffle to more tasks.
+SPREAD_BYTES = 512 << 10
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan whose files give fewer tasks than the session has cores, over all cores. That is a file or two of a size
+    worth it; large inputs have more splits than cores and stay as they are. For plans without a shuffle only."""
+    spark = scan.sparkSession
+    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = spark.sparkContext.defaultParallelism
+    if size < SPREAD_BYTES or scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores)
+
+
+def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """The Parquet table name in folder; with columns only these, spread over all cores."""
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(rows.select(*columns)) if columns else rows
 
 
 GENERATION_SCHEMA = """prompt_id STRING, category STRING, suite_version INT, prompt STRING, completion STRING, text STRING,
