@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.protocol import with_role
+from ..sources.tables import table
 from .cross_split import overlap_pairs, overlap_report
 from .encode import corpus_ids, with_token_counts
 from .format_copies import copy_counts, format_copies
@@ -18,72 +19,76 @@ from .near_duplicates import near_duplicates
 from .spam import page_curves, spam_pages
 
 
-def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def _stories(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "tinystories", "story_id", "text")
+
+
+def _split_stories(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "tinystories", "story_id", "source", "hub_split", "text")
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return near_duplicates(_table(spark, folder, "tinystories"))
+    return near_duplicates(_stories(spark, folder))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return lookalike_pairs(_table(spark, folder, "tinystories"))
+    return lookalike_pairs(_stories(spark, folder))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return format_copies(_table(spark, folder, "tinystories"))
+    return format_copies(_stories(spark, folder))
 
 
 def p3_copy_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return copy_counts(_table(spark, folder, "tinystories"))
+    return copy_counts(_stories(spark, folder))
 
 
 def _leak_texts(spark: SparkSession, folder: str) -> DataFrame:
-    train = with_role(_table(spark, folder, "tinystories").select("story_id", "source", "hub_split", "text"), _table(spark, folder, "data_integrity")).where("role = 'train'")
+    train = with_role(_split_stories(spark, folder), table(spark, folder, "data_integrity")).where("role = 'train'")
     stories = train.select(F.lit("tinystories").alias("record_table"), F.col("story_id").alias("record_id"), "text")
-    records = _table(spark, folder, "memorization_records")
+    records = table(spark, folder, "memorization_records", "record_id", "nearest_training_example")
     return stories.union(records.select(F.lit("memorization_records").alias("record_table"), "record_id", F.col("nearest_training_example").alias("text")))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return leaked_items(_leak_texts(spark, folder), _table(spark, folder, "heldout_items"))
+    return leaked_items(_leak_texts(spark, folder), table(spark, folder, "heldout_items"))
 
 
 def p4_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
-    return leak_report(p4_found(spark, folder), _table(spark, folder, "heldout_items"))
+    return leak_report(p4_found(spark, folder), table(spark, folder, "heldout_items"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return overlap_pairs(_table(spark, folder, "tinystories"), _table(spark, folder, "data_integrity"))
+    return overlap_pairs(_split_stories(spark, folder), table(spark, folder, "data_integrity"))
 
 
 def p5_report(spark: SparkSession, folder: str) -> DataFrame:
-    return overlap_report(_table(spark, folder, "tinystories"), _table(spark, folder, "data_integrity"))
+    return overlap_report(_split_stories(spark, folder), table(spark, folder, "data_integrity"))
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return corpus_ids(_table(spark, folder, "documents"))
+    return corpus_ids(table(spark, folder, "documents", "doc_id", "text"))
 
 
 def p6_tokens_by_source(spark: SparkSession, folder: str) -> DataFrame:
-    counts = with_token_counts(_table(spark, folder, "documents").select("source", "text"))
+    counts = with_token_counts(table(spark, folder, "documents", "source", "text"))
     return counts.groupBy("source").agg(F.count("*").alias("documents"), F.sum("tokens").alias("tokens"))
 
 
 def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
-    return mixture(_table(spark, folder, "documents"), _table(spark, folder, "mix_targets"))
+    return mixture(table(spark, folder, "documents", "doc_id", "source", "text"), table(spark, folder, "mix_targets"))
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
-    return mixture_shares(_table(spark, folder, "documents"), _table(spark, folder, "mix_targets"))
+    return mixture_shares(table(spark, folder, "documents", "doc_id", "source", "text"), table(spark, folder, "mix_targets"))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return spam_pages(_table(spark, folder, "documents"))
+    return spam_pages(table(spark, folder, "documents", "doc_id", "text", "lang"))
 
 
 def p8_curves(spark: SparkSession, folder: str) -> DataFrame:
-    return page_curves(_table(spark, folder, "documents"))
+    return page_curves(table(spark, folder, "documents", "doc_id", "text", "lang"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
