@@ -26,12 +26,6 @@ def linear_percentile(value: str | Column, p: float) -> Column:
     return F.percentile(value, F.lit(p))
 
 
-def lower_percentile(value: str | Column, p: float) -> Column:
-    """The value at place floor(p * (n - 1)), from 0, of the sorted values of a bounded group."""
-    ordered = F.sort_array(F.collect_list(value))
-    return F.element_at(ordered, (F.floor(F.lit(p) * (F.size(ordered) - 1)) + 1).cast("int"))
-
-
 def unit_histogram_bin(value: Column, bins: int) -> Column:
     """Bin 1..bins of a value in [0, 1]; the right edge belongs to the last bin, values outside are null."""
     return F.when((value >= 0) & (value <= 1), F.least(F.lit(bins), F.floor(value * bins).cast("int") + 1))

@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def token_offsets(docs: DataFrame, id_col: str = "id", tokens_col: str = "tokens", slices: int = 256) -> DataFrame:
+def _slices(rows: DataFrame) -> int:
+    """Ranges of a two-level prefix sum: a task each, and few enough to broadcast their sums."""
+    return max(256, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def token_offsets(docs: DataFrame, id_col: str = "id", tokens_col: str = "tokens") -> DataFrame:
     """docs with start, the place of each document in the stream of all documents by id, each followed by one token
-    that ends it. A prefix sum in two levels: within ranges of ids, and over the ranges' sums, of which there are at
-    most `slices` and which are small enough to broadcast."""
+    that ends it. A prefix sum in two levels: within ranges of ids, and over the ranges' sums, a row for each range."""
+    slices = _slices(docs)
     limits = docs.agg(F.min(id_col).alias("lo"), F.max(id_col).alias("hi"))
     part = F.least(F.lit(slices - 1), F.floor((F.col(id_col) - F.col("lo")) / ((F.col("hi") - F.col("lo") + 1) / F.lit(float(slices)))).cast("int"))
     rows = docs.crossJoin(F.broadcast(limits)).withColumn("_part", part).drop("lo", "hi")
@@ -81,10 +86,11 @@ def split_at_eos(blocks: DataFrame, block_size: int, eos: int = 0) -> DataFrame:
     ends = F.size(F.filter("tokens", lambda t: t == eos))
     counted = blocks.withColumn("_ends", ends.cast("long"))
     # ends before each block: a prefix sum over ranges of blocks, as in token_offsets
-    part = counted.withColumn("_part", F.floor(F.col("block_id") / 4096))
+    width = blocks.agg(F.ceil((F.max("block_id") + 1) / F.lit(float(_slices(blocks)))).alias("_width"))
+    part = counted.crossJoin(F.broadcast(width)).withColumn("_part", F.floor(F.col("block_id") / F.col("_width"))).drop("_width")
     base = part.groupBy("_part").agg(F.sum("_ends").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_base")
     inside = F.coalesce(F.sum("_ends").over(Window.partitionBy("_part").orderBy("block_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = part.withColumn("_inside", inside).join(base, "_part").withColumn("_before", F.col("_base") + F.col("_inside"))
+    placed = part.withColumn("_inside", inside).join(F.broadcast(base), "_part").withColumn("_before", F.col("_base") + F.col("_inside"))
     pieces = placed.select("block_id", "_before", F.posexplode(F.split(F.concat_ws(",", F.transform("tokens", lambda t: F.when(t == eos, F.lit("|")).otherwise(t.cast("string")))), r",?\|,?", -1)).alias("k", "piece"), F.col("_ends"))
     docs = pieces.select((F.col("_before") + F.col("k")).alias("document"), "block_id", "piece", (F.col("k") < F.col("_ends")).alias("ended"))
     joined = docs.groupBy("document").agg(F.array_sort(F.collect_list(F.struct("block_id", "piece"))).alias("ps"), F.bool_or("ended").alias("ended"))

@@ -97,12 +97,17 @@ def parameter_report(tensors: DataFrame) -> DataFrame:
     return once.groupBy(parameter_group(F.col("name")).alias("component")).agg(F.count("*").alias("tensors"), F.sum("size").alias("parameters"))
 
 
+MOST_BROADCAST_JOBS = 10_000
+
+
 def generation_jobs(prompts: DataFrame, presets: DataFrame, seeds: DataFrame) -> DataFrame:
     """(prompt_id, preset, seed): every prompt with every preset (preset, do_sample) and seed; a preset that doesn't
-    sample runs with the first seed only. Presets and seeds are a handful of rows each."""
+    sample runs with the first seed only. The list is the product by its meaning; presets with seeds are broadcast only
+    as far as they are few."""
     first = seeds.agg(F.min("seed").alias("first"))
-    jobs = F.broadcast(presets.crossJoin(seeds).crossJoin(first).where(F.col("do_sample") | (F.col("seed") == F.col("first"))).select("preset", "seed"))
-    return prompts.select(F.col("id").alias("prompt_id")).crossJoin(jobs)
+    jobs = presets.crossJoin(seeds).crossJoin(first).where(F.col("do_sample") | (F.col("seed") == F.col("first"))).select("preset", "seed")
+    few = jobs.limit(MOST_BROADCAST_JOBS + 1).count() <= MOST_BROADCAST_JOBS
+    return prompts.select(F.col("id").alias("prompt_id")).crossJoin(F.broadcast(jobs) if few else jobs)
 
 
 def pending_jobs(jobs: DataFrame, done: DataFrame) -> DataFrame:
@@ -118,9 +123,9 @@ def fits_context(rows: DataFrame, tokens: str, most: int) -> DataFrame:
 
 def epoch_order(rows: DataFrame, id_col: str, epoch: int, seed: int) -> DataFrame:
     """(epoch, position, id): the permutation of an epoch, a function of seed, epoch and id only. Positions come from a
-    prefix sum over hash ranges, so no task sorts all rows."""
+    prefix sum over hash ranges, so no task sorts all rows; the ranges are the 65,536 beginnings of the hash."""
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), F.col(id_col).cast("string")))
-    keyed = rows.select(F.col(id_col).alias("id"), key.alias("_key")).withColumn("_part", F.substring("_key", 1, 2))
+    keyed = rows.select(F.col(id_col).alias("id"), key.alias("_key")).withColumn("_part", F.substring("_key", 1, 4))
     base = keyed.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_base")
     inside = F.row_number().over(Window.partitionBy("_part").orderBy("_key", "id")) - 1
     return keyed.withColumn("_inside", inside).join(F.broadcast(base), "_part").select(F.lit(epoch).alias("epoch"), (F.col("_base") + F.col("_inside")).alias("position"), "id")

@@ -7,11 +7,9 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import lower_percentile
-
 _LOADED: dict[str, object] = {}
 
 
@@ -57,17 +55,24 @@ def decoded(rows: DataFrame, id_col: str, path: str) -> DataFrame:
 
 def token_diagnostics(rows: DataFrame, text_col: str = "text", tokens_col: str = "tokens", by: tuple[str, ...] = ()) -> DataFrame:
     """documents, tokens, characters and bytes per token, mean, median and lower p95 of tokens per document."""
-    n = F.size(tokens_col)
-    counted = rows.withColumn("_n", n)
-    total = F.nullif(F.sum("_n"), F.lit(0))
-    return counted.groupBy(*by).agg(
-        F.count("*").alias("documents"),
-        F.sum("_n").alias("tokens"),
-        F.round(F.sum(F.char_length(text_col)) / total, 6).alias("chars_per_token"),
-        F.round(F.sum(F.octet_length(text_col)) / total, 6).alias("bytes_per_token"),
-        F.round(F.avg("_n"), 6).alias("mean_tokens"),
-        F.round(F.percentile("_n", F.lit(0.5)), 6).alias("median_tokens"),
-        lower_percentile("_n", 0.95).alias("p95_tokens"),
+    counted = rows.select(*by, F.size(tokens_col).alias("_n"), F.char_length(text_col).alias("_c"), F.octet_length(text_col).alias("_b"))
+    # a row for each length: what a percentile needs of a group of any size
+    lengths = counted.groupBy(*by, "_n").agg(F.count("*").alias("_k"), F.sum("_c").alias("_c"), F.sum("_b").alias("_b"))
+    group = Window.partitionBy(*by)
+    upto = F.sum("_k").over(group.orderBy("_n"))
+    placed = lengths.withColumn("_upto", upto).withColumn("_all", F.sum("_k").over(group))
+    at = lambda place: F.min(F.when(F.col("_upto") > place, F.col("_n")))
+    last = F.col("_all") - 1
+    total = F.nullif(F.sum(F.col("_n") * F.col("_k")), F.lit(0))
+    middle = (at(F.floor(last / 2)) + at(F.ceil(last / 2))) / 2
+    return placed.groupBy(*by).agg(
+        F.sum("_k").alias("documents"),
+        F.sum(F.col("_n") * F.col("_k")).alias("tokens"),
+        F.round(F.sum("_c") / total, 6).alias("chars_per_token"),
+        F.round(F.sum("_b") / total, 6).alias("bytes_per_token"),
+        F.round(F.sum(F.col("_n") * F.col("_k")) / F.sum("_k"), 6).alias("mean_tokens"),
+        F.round(middle, 6).alias("median_tokens"),
+        at(F.floor(F.lit(0.95) * last)).alias("p95_tokens"),
     )
 
 
