@@ -30,6 +30,11 @@ def text_quality(text: Column) -> Column:
     return F.greatest(F.lit(0.1), kept / F.greatest(F.length(text), F.lit(1)))
 
 
+def _gathered(rows: DataFrame) -> DataFrame:
+    """A table of at most a row for each target source, as a local one: its plan is not part of the plans that use it."""
+    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+
+
 def mixture(docs: DataFrame, targets: DataFrame, options: MixOptions = MixOptions(), quality=text_quality) -> DataFrame:
     """(doc_id, source, tokens, uses): the documents of the mixture and how often each is used.
 
@@ -70,6 +75,7 @@ def mixture(docs: DataFrame, targets: DataFrame, options: MixOptions = MixOption
         .agg(F.max(F.when(F.col("before") < F.col("rest"), F.struct("bin", "before"))).alias("last"))
         .select("source", "epochs", "rest", F.coalesce("last.bin", F.lit(-1)).alias("last_bin"), F.coalesce("last.before", F.lit(0)).alias("before"))
     )
+    ends = _gathered(ends) if small else ends
     rows = sized.join(hint(ends), "source")
     order = Window.partitionBy("source").orderBy("key", "doc_id", "tie")
     running = F.col("before") + F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))
@@ -79,9 +85,11 @@ def mixture(docs: DataFrame, targets: DataFrame, options: MixOptions = MixOption
     edge = edge.select(*kept, (F.col("sum") <= F.col("rest")).alias("taken"), "rest", F.greatest("before", F.when(F.col("sum") <= F.col("rest"), F.col("sum"))).alias("sum"))
     chosen = inner.unionByName(edge).where("tokens > 0")
     # one row for each source: what the prefix leaves of the budget, and the document that fits it best
+    chosen = chosen.persist()
     left = chosen.groupBy("source").agg((F.max("rest") - F.max("sum")).alias("left"))
     off = F.abs(F.col("tokens") - F.col("left"))
     fill = chosen.where("not taken").join(hint(left), "source").where(off < F.col("left")).groupBy("source").agg(F.min(F.struct(off.alias("off"), "key", "doc_id", "tie")).alias("fill")).select(F.col("source").alias("_source"), "fill")
+    fill = _gathered(fill) if small else fill
     extra = F.coalesce((F.col("key") == F.col("fill.key")) & F.col("doc_id").eqNullSafe(F.col("fill.doc_id")) & (F.col("tie") == F.col("fill.tie")), F.lit(False))
     uses = F.col("epochs") + (F.col("taken") | extra).cast("int")
     return chosen.join(hint(fill), F.col("source") == F.col("_source"), "left").select("doc_id", "source", "tokens", uses.alias("uses")).where("uses > 0")
