@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType
+from pyspark.sql.types import StringType
 
 # Typographic characters and their ASCII spelling.
 TYPOGRAPHIC_ONE = {"“": '"', "”": '"', "‘": "'", "’": "'", "–": "-", "—": "-", "\u00a0": " "}
@@ -121,14 +121,10 @@ def exact_content_hash(text: pa.Array) -> pa.Array:
     return pa.array([None if x is None else exact_hash(x).hex() for x in text.to_pylist()], pa.string())
 
 
-@F.arrow_udf(BooleanType())
-def _exact_in_fraction(text: pa.Array, limit: pa.Array) -> pa.Array:
-    return pa.array([None if x is None else int.from_bytes(exact_hash(x), "big") % 1_000_000 < n for x, n in zip(text.to_pylist(), limit.to_pylist())], pa.bool_())
-
-
-def exact_in_fraction(text: Column, fraction: float) -> Column:
-    """in_fraction of the exact hash, taken as an unsigned number."""
-    return _exact_in_fraction(text, F.lit(round(fraction * 1_000_000)))
+def exact_in_fraction(hex_hash: Column, fraction: float) -> Column:
+    """in_fraction of an exact hash, taken as an unsigned number of 64 bits."""
+    number = F.conv(hex_hash, 16, 10).cast("decimal(20,0)")
+    return (number % F.lit(1_000_000).cast("decimal(20,0)")).cast("long") < F.lit(round(fraction * 1_000_000))
 
 
 def words(text: Column) -> Column:

@@ -7,19 +7,21 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import Normalization, bucket, content_hash, in_fraction, normalize_text, once
+from ..functions.text import Normalization, bucket, content_hash, exact_content_hash, exact_in_fraction, in_fraction, normalize_text, once
 
 
 @dataclass(frozen=True)
 class SplitOptions:
     """validation_fraction: share of the training source held out by hash, so copies stay together. min_chars: least
-    length after normalization. max_train: a seeded subset of the training split, None for all of it."""
+    length after normalization. exact: hash with BLAKE2b of the NFKC, case-folded text, not MD5 of the lower-case one; the
+    validation split follows the hash. max_train: a seeded subset of the training split, None for all of it."""
 
     validation_fraction: float = 0.005
     min_chars: int = 100
     max_train: int | None = None
     seed: int = 0
     decontaminate: bool = True
+    exact: bool = False
     normalization: Normalization = field(default_factory=Normalization)
 
 
@@ -27,7 +29,8 @@ def prepared(docs: DataFrame, options: SplitOptions, text_col: str = "text") ->
     """docs with normalized text, its hash and at least min_chars characters; the filter comes after normalization."""
     rest = [c for c in docs.columns if c != text_col]
     clean = docs.where(F.col(text_col).isNotNull()).select(*rest, once(normalize_text(F.col(text_col), options.normalization)).alias(text_col))
-    return clean.where(F.char_length(text_col) >= options.min_chars).select(*rest, text_col, once(content_hash(F.col(text_col))).alias("hash"))
+    hashed = exact_content_hash if options.exact else content_hash
+    return clean.where(F.char_length(text_col) >= options.min_chars).select(*rest, text_col, once(hashed(F.col(text_col))).alias("hash"))
 
 
 def build_splits(train: DataFrame, test: DataFrame, options: SplitOptions = SplitOptions(), id_col: str = "story_id", text_col: str = "text") -> DataFrame:
@@ -37,7 +40,7 @@ def build_splits(train: DataFrame, test: DataFrame, options: SplitOptions = Spli
     source, held = prepared(train.select(id_col, text_col), options), prepared(test.select(id_col, text_col), options)
     if options.decontaminate:
         held = held.join(source.select("hash").distinct(), "hash", "left_anti").select(id_col, text_col, "hash")
-    hold_out = in_fraction(F.col("hash"), options.validation_fraction)
+    hold_out = (exact_in_fraction if options.exact else in_fraction)(F.col("hash"), options.validation_fraction)
     split = lambda df, name: df.select(id_col, text_col, "hash", name.alias("split"))
     held = split(held, F.lit("test"))
     if options.max_train is None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import BLANK, Normalization, bucket, content_hash, in_fraction, ngrams, normalize_text, repeated_fraction, sentences, words
+from ..functions.text import BLANK, Normalization, bucket, content_hash, exact_content_hash, in_fraction, ngrams, normalize_text, repeated_fraction, sentences, words
 from ..operators.ngrams import containment, containment_summary
 from ..operators.protocol import with_role
 from ..operators.splits import SplitOptions, build_splits, cross_split_exact, duplicate_stats, prepared, seeded_sample, split_fingerprint
@@ -79,6 +79,17 @@ def decontaminated_split_counts(spark: SparkSession, folder: str) -> DataFrame:
     return splits(spark, folder).groupBy("split").agg(F.count("*").alias("stories"), F.sum(F.char_length("text")).alias("chars"))
 
 
+def exact_split_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The same splits with the exact hash, which SQL doesn't have."""
+    rows = corpus(spark, folder)
+    exact = SplitOptions(validation_fraction=0.05, exact=True)
+    return build_splits(rows.where("role = 'train'"), rows.where("role = 'test'"), exact).groupBy("split").agg(F.count("*").alias("stories"), F.sum(F.char_length("text")).alias("chars"))
+
+
+def exact_content_hashes(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "tinystories", "story_id", "text").where("text is not null").select("story_id", exact_content_hash(F.col("text")).alias("hash"))
+
+
 def decontaminated_test(spark: SparkSession, folder: str) -> DataFrame:
     return splits(spark, folder).where("split = 'test'").select("story_id", "hash")
 
@@ -170,6 +181,8 @@ QUERIES = {
     "min_chars_filter": (min_chars_filter, f"WITH {_P} SELECT role, count(*) AS stories, sum(length(text))::BIGINT AS chars FROM prepared GROUP BY role"),
     "role_counts": (role_counts, f"WITH {_C} SELECT role, source, count(*) AS stories, count(text) AS texts FROM corpus GROUP BY role, source"),
     "decontaminated_split_counts": (decontaminated_split_counts, f"WITH {S.SPLITS} SELECT split, count(*) AS stories, sum(length(text))::BIGINT AS chars FROM splits GROUP BY split"),
+    "exact_split_counts": (exact_split_counts, ""),
+    "exact_content_hashes": (exact_content_hashes, ""),
     "decontaminated_test": (decontaminated_test, f"WITH {S.SPLITS} SELECT story_id, hash FROM splits WHERE split = 'test'"),
     "contaminated_test": (contaminated_test, f"WITH {_P} SELECT story_id FROM prepared WHERE role = 'test' AND hash IN (SELECT hash FROM prepared WHERE role = 'train')"),
     "split_fingerprints": (split_fingerprints, f"WITH {S.SPLITS} SELECT split, count(*) AS rows, bit_xor({S.bucket('hash', 1 << 60)}) AS fingerprint FROM splits GROUP BY split"),

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import byte_tokens
 from ..operators import packing
-from ..operators.tokenizer import token_diagnostics
+from ..operators.tokenizer import encoded, round_trip_rate, token_diagnostics
 from ..sources.tables import table
 
 _BLOCK = 512
+#: A tokenizer file for the queries of the encoder; the operators take any.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -53,11 +55,30 @@ def byte_diagnostics(spark: SparkSession, folder: str) -> DataFrame:
     return token_diagnostics(rows, by=("lang",))
 
 
+def bpe_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return encoded(_texts(spark, folder), "id", "text", TOKENIZER)
+
+
+def bpe_diagnostics(spark: SparkSession, folder: str) -> DataFrame:
+    return token_diagnostics(bpe_documents(spark, folder))
+
+
+def bpe_packing_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packing_stats(bpe_documents(spark, folder), _BLOCK)
+
+
+def bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    return round_trip_rate(_texts(spark, folder), "id", "text", TOKENIZER)
+
+
 _LEN = "l AS (SELECT doc_id, text, strlen(text) AS n FROM documents WHERE text IS NOT NULL), o AS (SELECT *, coalesce(sum(n + 1) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM l)"
 _STREAM = f"{_LEN}, hx AS (SELECT doc_id, start, n, hex(encode(text)) AS h FROM o), tok AS (SELECT start + unnest(range(n + 1)) AS p, unnest(list_append(list_transform(range(n), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::INT + 2), 0)) AS t FROM hx)"
 _PACKED = f"{_STREAM}, total AS (SELECT (count(*) // {_BLOCK}) * {_BLOCK} AS m FROM tok), packed AS (SELECT p, t FROM tok, total WHERE p < m)"
 
 QUERIES = {
+    "bpe_diagnostics": (bpe_diagnostics, ""),
+    "bpe_packing_stats": (bpe_packing_stats, ""),
+    "bpe_round_trip": (bpe_round_trip, ""),
     "byte_token_counts": (byte_token_counts, f"WITH {_STREAM} SELECT doc_id, n::INT AS tokens, coalesce(list_sum(list_transform(range(n), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::INT + 2)), 0)::BIGINT AS token_sum FROM hx"),
     "token_offsets": (token_offsets, f"WITH {_LEN} SELECT doc_id, start FROM o"),
     "pack_blocks": (pack_blocks, f"WITH {_PACKED} SELECT (p // {_BLOCK})::BIGINT AS block_id, md5(string_agg(t::VARCHAR, ',' ORDER BY p)) AS tokens_md5 FROM packed GROUP BY 1"),

@@ -79,6 +79,14 @@ def history_kinds(spark: SparkSession, folder: str) -> DataFrame:
     return history(spark, folder).groupBy("run_id", "kind").agg(F.count("*").alias("records"), F.max("step").alias("last_step"))
 
 
+def record_union(spark: SparkSession, folder: str) -> DataFrame:
+    """Both shapes of history records as one table; columns that a shape lacks are null."""
+    rows = history(spark, folder)
+    train = rows.where("kind = 'train'").select("run_id", "step", F.round("lr", 9).alias("lr"), "tokens_seen")
+    validation = rows.where("kind = 'validation'").select("run_id", "step", "val_predicted_tokens")
+    return train.unionByName(validation, allowMissingColumns=True)
+
+
 def repeated_records(spark: SparkSession, folder: str) -> DataFrame:
     kind = F.when(F.col("val_loss").isNotNull(), F.lit("validation")).otherwise(F.lit("train")).alias("kind")
     return table(spark, folder, "training_history").groupBy("run_id", "step", kind).agg(F.count("*").alias("times")).where("times > 1")
@@ -166,6 +174,7 @@ QUERIES = {
     "token_budget": (token_budget, f"WITH {_R} SELECT run_id, training_tokens // nullif(steps, 0) AS tokens_per_step, round(training_tokens / nullif(parameters, 0), 6) AS tokens_per_parameter FROM runs"),
     "training_memory": (training_memory, f"WITH {_R} SELECT run_id, round(parameters * 4 / 1048576.0::DOUBLE, 6) AS weights_mb, round(parameters * 4 / 1048576.0::DOUBLE, 6) AS gradients_mb, round(parameters * 4 / 1048576.0::DOUBLE * 2, 6) AS adamw_mb, round(parameters * 4 / 1048576.0::DOUBLE * 4, 6) AS total_mb FROM runs"),
     "history_kinds": (history_kinds, f"WITH {_H} SELECT run_id, kind, count(*) AS records, max(step) AS last_step FROM history GROUP BY 1, 2"),
+    "history_union": (record_union, f"WITH {_H} SELECT run_id, step, CASE WHEN kind = 'train' THEN round(lr, 9) END AS lr, CASE WHEN kind = 'train' THEN tokens_seen END AS tokens_seen, CASE WHEN kind = 'validation' THEN val_predicted_tokens END AS val_predicted_tokens FROM history"),
     "repeated_records": (repeated_records, f"WITH {_H} SELECT run_id, step, kind, count(*) AS times FROM kinds GROUP BY 1, 2, 3 HAVING count(*) > 1"),
     "history_truncate": (history_truncate, f"WITH {_BEST} SELECT run_id, count(*) AS kept, max(step) AS last_step FROM history LEFT JOIN best USING (run_id) WHERE best_step IS NULL OR step <= best_step GROUP BY run_id"),
     "tumbling_log_mean": (tumbling_log_mean, f"WITH {_H} SELECT run_id, ceil(step / 500)::BIGINT AS bucket, count(*) AS records, round(avg(train_loss), 6) AS mean_loss, max(step) AS last_step FROM history WHERE kind = 'train' AND train_loss IS NOT NULL AND NOT isnan(train_loss) GROUP BY 1, 2"),

@@ -22,6 +22,8 @@ def test_splits_are_disjoint_and_decontaminated(spark):
     assert {i for s, i in rows if s == "test"} == set(range(50, 60))
     assert {i for s, i in rows if s != "test"} == set(range(40))
     assert built.groupBy("hash").agg(F.count_distinct("split").alias("n")).where("n > 1").count() == 0
+    exact = splits.build_splits(train, test, splits.SplitOptions(validation_fraction=0.2, exact=True))
+    assert {r["story_id"] for r in exact.where("split = 'test'").collect()} == set(range(50, 60))
     some = splits.build_splits(train, test, splits.SplitOptions(validation_fraction=0.0, max_train=7, decontaminate=False))
     assert some.where("split = 'train'").count() == 7
     assert some.where("split = 'test'").count() == 15

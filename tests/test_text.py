@@ -30,8 +30,9 @@ def test_keys_ignore_case_and_blanks(spark):
     expected = hashlib.blake2b(" ".join(unicodedata.normalize("NFKC", a).casefold().split()).encode(), digest_size=8).hexdigest()
     assert one(spark, a, T.exact_content_hash) == expected
     held = int(expected, 16) % 1_000_000
-    assert one(spark, a, lambda c: T.exact_in_fraction(c, (held + 1) / 1e6)) is True
-    assert one(spark, a, lambda c: T.exact_in_fraction(c, held / 1e6)) is False
+    assert one(spark, expected, lambda c: T.exact_in_fraction(c, (held + 1) / 1e6)) is True
+    assert one(spark, expected, lambda c: T.exact_in_fraction(c, held / 1e6)) is False
+    assert one(spark, "f" * 16, lambda c: T.exact_in_fraction(c, ((2**64 - 1) % 10**6 + 1) / 1e6)) is True
 
 
 def test_words_and_ngrams(spark):
