@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.wordhash import WordHashes, chunks
 from ..operators.bitmap import MAX_BYTES, contains, membership_bitmap, only_possible
 from ..operators.protocol import with_role
+from ..session import checkpoint
 from .charforms import count_letters_and_digits, letters_and_digits, one_form, record_key, word_text
 from .near_duplicates import NearDuplicateOptions, fingerprints, similar
 
@@ -277,7 +278,9 @@ def cross_split_overlaps(stories: DataFrame, integrity: DataFrame, options: Cros
         return side.groupBy("record").agg(rep.alias("r")).select("record", "r.*")
 
     eval_reps, train_reps = classes(evals), classes(trains)
-    found = seeds(eval_reps, train_reps, options).groupBy("eval_id", "train_id").agg(F.collect_set(F.struct(F.col("eval_place").alias("e"), F.col("train_place").alias("t"))).alias("seeds")).persist()
+    found = seeds(eval_reps, train_reps, options).groupBy("eval_id", "train_id").agg(F.collect_set(F.struct(F.col("eval_place").alias("e"), F.col("train_place").alias("t"))).alias("seeds"))
+    # small, and the result of the costly stages before
+    found = checkpoint(found)
     pairs = membership_bitmap(found.select("eval_id", "train_id"), 2 * found.count(), options.max_filter_bytes)
     text = only_possible(stories.where("text is not null and story_id is not null").select(F.col("story_id").alias("id"), "text"), pairs)
     near = (

@@ -122,9 +122,21 @@ def _digest(text: str) -> bytes:
     return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def _form_rows(words: dict[str, int], min_letters: int):
+_TRIES: dict[int, tuple[LookalikeTrie, dict[str, str]]] = {}
+
+
+def _trie(words) -> tuple[LookalikeTrie, dict[str, str]]:
+    """The worker's trie of a broadcast vocabulary with the spellings found so far; the last one is kept."""
+    key = hash(tuple(words.value.items()))
+    if key not in _TRIES:
+        _TRIES.clear()
+        _TRIES[key] = LookalikeTrie(words.value), {}
+    return _TRIES[key]
+
+
+def _form_rows(words, min_letters: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, memo = LookalikeTrie(words), {}
+        trie, memo = _trie(words)
         for batch in batches:
             ids, forms, texts = [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -142,7 +154,7 @@ def _form_rows(words: dict[str, int], min_letters: int):
 def form_table(docs: DataFrame, id_col: str, text_col: str, min_letters: int = 40, vocabulary_size: int = 50_000) -> DataFrame:
     """(id, form, variant): digests of the one form and of the text itself. The vocabulary, counted over all texts, is
     sent to the executors; its size is bounded by vocabulary_size."""
-    words = {r["token"]: r["n"] for r in vocabulary(docs, text_col, vocabulary_size).collect()}
+    words = docs.sparkSession.sparkContext.broadcast({r["token"]: r["n"] for r in vocabulary(docs, text_col, vocabulary_size).collect()})
     rows = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), text_col)
     return rows.mapInArrow(_form_rows(words, min_letters), "id long, form binary, variant binary")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.wordhash import WordHashes, chunks
 from ..operators.bitmap import membership_bitmap, only_possible
+from ..session import checkpoint
 from .charforms import count_letters_and_digits, letters_and_digits, one_form, record_key, word_text
 
 
@@ -19,7 +20,7 @@ from .charforms import count_letters_and_digits, letters_and_digits, one_form, r
 class NearDuplicateOptions:
     """shingle: words in a sequence. threshold: least similarity of a pair. blocks x rows components of 8 bits make the
     fingerprint; two fingerprints with fewer than `blocks` differing components must share a block, others do with
-    probability 1 - (1 - J**rows)**blocks (J = 0.62: 0.989, 0.7: 0.9994, 0.8: 1 - 4e-7). Raise rows and blocks together
+    probability 1 - (1 - J**rows)**blocks (J = 0.62: 0.997, 0.7: 0.99995, 0.8: 1 - 6e-9). Raise rows and blocks together
     for corpora far beyond 1e9 documents. min_equal: least equal components of a pair that is verified exactly, 5
     standard deviations under what a similarity of 0.6 gives. max_sketch: most differing bits of the 64-bit sketch
     that travels with a block. min_letters: texts with fewer letters and digits are in no pair. hot: a block with more
@@ -27,9 +28,9 @@ class NearDuplicateOptions:
 
     shingle: int = 3
     threshold: float = 0.6
-    blocks: int = 28
+    blocks: int = 36
     rows: int = 4
-    min_equal: int = 40
+    min_equal: int = 54
     max_sketch: int = 25
     min_letters: int = 40
     hot: int = 4096
@@ -264,8 +265,8 @@ def _similar_rows(options: NearDuplicateOptions):
 
 def verified_pairs(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, options: NearDuplicateOptions) -> DataFrame:
     """The pairs (lo, hi) whose texts are similar, by their whole sets of word sequences. Only texts that may be in a
-    pair are shuffled."""
-    pairs = pairs.persist()
+    pair are shuffled. The pairs, the small result of the costly stages before, are checkpointed."""
+    pairs = checkpoint(pairs)
     bits = membership_bitmap(pairs, 2 * pairs.count())
     text = only_possible(docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), bits)
     return (
