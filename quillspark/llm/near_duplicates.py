@@ -23,7 +23,7 @@ class NearDuplicateOptions:
     probability 1 - (1 - J**rows)**blocks (J = 0.62: 0.997, 0.7: 0.99995, 0.8: 1 - 6e-9). Raise rows and blocks together
     for corpora far beyond 1e9 documents. min_equal: least equal components of a pair that is verified exactly, 5
     standard deviations under what a similarity of 0.6 gives. max_sketch: most differing bits of the 64-bit sketch
-    that travels with a block. min_letters: texts with fewer letters and digits are in no pair. hot: a block with more
+    that travels with a block, 3.5 standard deviations over what a similarity of 0.62 gives. min_letters: texts with fewer letters and digits are in no pair. hot: a block with more
     members is compared by many tasks."""
 
     shingle: int = 3
@@ -31,7 +31,7 @@ class NearDuplicateOptions:
     blocks: int = 36
     rows: int = 4
     min_equal: int = 54
-    max_sketch: int = 25
+    max_sketch: int = 23
     min_letters: int = 40
     hot: int = 4096
 
