@@ -18,14 +18,16 @@ from ..functions.wordhash import ASCII_WORDS, WordHashes, chunks
 @dataclass(frozen=True)
 class MinHashOptions:
     """permutations in bands of equal rows; threshold on the share of equal permutations. cap: members of a bucket that
-    are paired, the first by id; None pairs all of them."""
+    are paired, the first by id, as the reference does; None, for whole results, pairs all of them. hot: a group with
+    more members is paired by many tasks."""
 
     permutations: int = 128
     bands: int = 16
     shingle: int = 5
     threshold: float = 0.8
     seed: int = 0
-    cap: int | None = 50
+    cap: int | None = None
+    hot: int = 1000
 
     def __post_init__(self):
         if self.permutations % self.bands:
@@ -96,12 +98,58 @@ def band_rows(signatures: DataFrame, id_col: str, options: MinHashOptions) -> Da
     return signatures.select(id_col, F.posexplode(bands).alias("band", "bucket"))
 
 
+def _pairs_within(rows: DataFrame, keys: list[str], id_col: str, hot: int) -> DataFrame:
+    """(keys, lo, hi) of all rows with equal keys. A group with more than hot members is cut into slices, and each pair
+    of slices is a group of its own, so no task pairs the whole group."""
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("members")).where("members > 1")
+    slices = F.ceil(F.col("members") / hot).cast("int")
+    tiles = (
+        rows.join(sizes, keys)
+        .withColumn("own", F.pmod(F.xxhash64(id_col), slices).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), slices - 1)))
+        .select(*keys, F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).alias("side"), id_col)
+    )
+    first = tiles.where("not side").select(*keys, "a", "b", F.col(id_col).alias("x"))
+    second = tiles.where("side or a = b").select(*keys, "a", "b", F.col(id_col).alias("y"))
+    met = first.join(second, [*keys, "a", "b"]).where((F.col("x") < F.col("y")) | ((F.col("a") != F.col("b")) & (F.col("x") != F.col("y"))))
+    return met.select(*keys, F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"))
+
+
+def signature_classes(signatures: DataFrame, id_col: str) -> DataFrame:
+    """(rep, signature, size): documents of equal signature as one row, with the smallest id and how many they are."""
+    return signatures.groupBy("signature").agg(F.min(id_col).alias("rep"), F.count("*").alias("size"))
+
+
+def _class_candidates(classes: DataFrame, options: MinHashOptions) -> DataFrame:
+    """Distinct (lo, hi) of representatives of unequal signatures that share a bucket of some band."""
+    return _pairs_within(band_rows(classes, "rep", options), ["band", "bucket"], "rep", options.hot).select("lo", "hi").distinct()
+
+
+def _class_pairs(classes: DataFrame, options: MinHashOptions) -> DataFrame:
+    """(lo, hi, similarity) of representatives whose estimated similarity reaches the threshold."""
+    left = classes.select(F.col("rep").alias("lo"), F.col("signature").alias("a"))
+    right = classes.select(F.col("rep").alias("hi"), F.col("signature").alias("b"))
+    pairs = _class_candidates(classes, options).join(left, "lo").join(right, "hi")
+    return pairs.select("lo", "hi", estimated_similarity(F.col("a"), F.col("b"), options).alias("similarity")).where(F.col("similarity") >= options.threshold)
+
+
+def _member_pairs(pairs: DataFrame, classes: DataFrame, signatures: DataFrame, id_col: str, options: MinHashOptions) -> DataFrame:
+    """Pairs of representatives (lo, hi, similarity) as pairs of all members, and the pairs within each class."""
+    members = signatures.join(classes.where("size > 1").select("rep", "signature"), "signature").select("rep", F.col(id_col).alias("id"))
+    every = members.union(classes.where("size = 1").select("rep", F.col("rep").alias("id")))
+    both = pairs.join(every.select(F.col("rep").alias("lo"), F.col("id").alias("x")), "lo").join(every.select(F.col("rep").alias("hi"), F.col("id").alias("y")), "hi")
+    across = both.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"), "similarity")
+    return across.union(_pairs_within(members, ["rep"], "id", options.hot).select("lo", "hi", F.lit(1.0)))
+
+
 def candidate_pairs(signatures: DataFrame, id_col: str, options: MinHashOptions) -> DataFrame:
-    """Distinct (lo, hi) that share a bucket of some band."""
-    rows = band_rows(signatures, id_col, options)
-    if options.cap is not None:
-        order = Window.partitionBy("band", "bucket").orderBy(id_col)
-        rows = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= options.cap).drop("place")
+    """Distinct (lo, hi) that share a bucket of some band. Equal signatures are one row until the end."""
+    if options.cap is None:
+        classes = signature_classes(signatures, id_col).persist()
+        found = _class_candidates(classes, options).withColumn("similarity", F.lit(None).cast("double"))
+        return _member_pairs(found, classes, signatures, id_col, options).select("lo", "hi").distinct()
+    order = Window.partitionBy("band", "bucket").orderBy(id_col)
+    rows = band_rows(signatures, id_col, options).withColumn("place", F.row_number().over(order)).where(F.col("place") <= options.cap).drop("place")
     a, b = rows.select("band", "bucket", F.col(id_col).alias("lo")), rows.select("band", "bucket", F.col(id_col).alias("hi"))
     return a.join(b, ["band", "bucket"]).where("lo < hi").select("lo", "hi").distinct()
 
@@ -112,6 +160,9 @@ def estimated_similarity(a: Column, b: Column, options: MinHashOptions) -> Colum
 
 def near_duplicate_pairs(signatures: DataFrame, id_col: str, options: MinHashOptions) -> DataFrame:
     """(lo, hi, similarity) of candidate pairs whose estimated similarity reaches the threshold."""
+    if options.cap is None:
+        classes = signature_classes(signatures, id_col).persist()
+        return _member_pairs(_class_pairs(classes, options), classes, signatures, id_col, options)
     left = signatures.select(F.col(id_col).alias("lo"), F.col("signature").alias("a"))
     right = signatures.select(F.col(id_col).alias("hi"), F.col("signature").alias("b"))
     pairs = candidate_pairs(signatures, id_col, options).join(left, "lo").join(right, "hi")
@@ -126,6 +177,23 @@ def near_duplicate_report(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return counts.withColumn("rate", F.round(rate, 9))
 
 
+def near_duplicate_counts(signatures: DataFrame, id_col: str, options: MinHashOptions) -> DataFrame:
+    """The row of near_duplicate_report over the pairs of all members, counted from classes of equal signatures without
+    making the pairs: a text with many copies costs one row. Ids are keys; options.cap is not used."""
+    classes = signature_classes(signatures, id_col).persist()
+    pairs = _class_pairs(classes, options).select("lo", "hi").persist()
+    sizes = classes.select("rep", "size")
+    across = pairs.join(sizes.select(F.col("rep").alias("lo"), F.col("size").alias("m")), "lo").join(sizes.select(F.col("rep").alias("hi"), F.col("size").alias("n")), "hi").agg(F.coalesce(F.sum(F.col("m") * F.col("n")), F.lit(0)).alias("across"))
+    linked = pairs.select(F.col("lo").alias("rep")).union(pairs.select("hi")).distinct().withColumn("linked", F.lit(True))
+    inside = sizes.join(linked, "rep", "left").agg(
+        F.coalesce(F.sum("size"), F.lit(0)).alias("documents"),
+        F.coalesce(F.sum(F.expr("size * (size - 1) div 2")), F.lit(0)).alias("within"),
+        F.coalesce(F.sum(F.when((F.col("size") > 1) | F.col("linked"), F.col("size"))), F.lit(0)).alias("documents_with_near_duplicate"),
+    )
+    rate = F.when(F.col("documents") > 0, F.col("documents_with_near_duplicate") / F.col("documents")).otherwise(F.lit(0.0))
+    return inside.crossJoin(across).select("documents", (F.col("within") + F.col("across")).alias("verified_pairs"), "documents_with_near_duplicate", F.round(rate, 9).alias("rate"))
+
+
 def cross_near_duplicates(reference: DataFrame, queries: DataFrame, id_col: str, options: MinHashOptions) -> DataFrame:
     """(id_col): queries whose bucket of some band has a first reference document (by id) that reaches the threshold."""
     first = band_rows(reference, id_col, options).groupBy("band", "bucket").agg(F.min(id_col).alias("ref"))

@@ -32,8 +32,7 @@ def near_dup_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def near_dup_report(spark: SparkSession, folder: str) -> DataFrame:
-    signatures = _signatures(spark, folder)
-    return minhash.near_duplicate_report(signatures, minhash.near_duplicate_pairs(signatures, "story_id", _NATIVE).persist())
+    return minhash.near_duplicate_counts(_signatures(spark, folder), "story_id", _NATIVE)
 
 
 def near_dup_examples(spark: SparkSession, folder: str) -> DataFrame:

@@ -71,6 +71,24 @@ def test_bucket_cap(spark):
     assert minhash.near_duplicate_pairs(signatures, "id", minhash.MinHashOptions(cap=None)).count() == 15
 
 
+@pytest.mark.parametrize("hot", [1000, 7])
+def test_many_copies_keep_all_links(spark, hot):
+    base = " ".join(f"w{k}" for k in range(200))
+    rows = [(k, base) for k in range(60)] + [(100 + k, base + f" end{k}") for k in range(5)] + [(200, " ".join(f"v{k}" for k in range(200)))]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    options = minhash.MinHashOptions(hot=hot)
+    signatures = minhash.md5_signatures(docs, "id", "text", options)
+    every = sorted((a, b) for a, _ in rows[:65] for b, _ in rows[:65] if a < b)
+    found = minhash.near_duplicate_pairs(signatures, "id", options)
+    assert sorted((r["lo"], r["hi"]) for r in found.collect()) == every
+    assert sorted((r["lo"], r["hi"]) for r in minhash.candidate_pairs(signatures, "id", options).collect()) == every
+    report = minhash.near_duplicate_counts(signatures, "id", options).first()
+    assert report == minhash.near_duplicate_report(signatures, found).first()
+    assert (report["documents"], report["verified_pairs"], report["documents_with_near_duplicate"]) == (66, len(every), 65)
+    empty = minhash.near_duplicate_counts(signatures.limit(0), "id", options).first()
+    assert tuple(empty) == (0, 0, 0, 0.0)
+
+
 def test_longest_span(spark):
     assert memorization.longest_span("the cat sat on the red mat", "a dog sat on the red rug") == (4, "sat on the red")
     assert memorization.longest_span("", "a") == (0, "")
