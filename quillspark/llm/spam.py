@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -53,13 +52,9 @@ def _counted(texts: list[str], options: SpamOptions) -> Iterator[tuple[int, np.n
 def _word_rows(options: SpamOptions):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = batch.column(2).to_pylist()
-            for begin, doc, word, n, total in _counted(raw, options):
-                pages = np.zeros(int(doc[-1]) + 1, np.int64)
-                for i in np.unique(doc):
-                    pages[i] = int.from_bytes(blake2b(raw[begin + i].encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+            for begin, doc, word, n, total in _counted(batch.column(3).to_pylist(), options):
                 at = pa.array(begin + doc)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(pages[doc]), batch.column(1).take(at), pa.array(word), pa.array(n), pa.array(total)], names=["id", "page", "lang", "word", "n", "words"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(3)), pa.array(word), pa.array(n), pa.array(total)], names=["hash", "page", "lang", "word", "n", "words"])
 
     return rows
 
@@ -70,8 +65,8 @@ def _language_rows(options: SpamOptions):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, code = np.unique(np.array(batch.column(1).to_pylist(), object).astype(str), return_inverse=True)
-            for begin, doc, word, n, total in _counted(batch.column(2).to_pylist(), options):
+            names, code = np.unique(np.array(batch.column(2).to_pylist(), object).astype(str), return_inverse=True)
+            for begin, doc, word, n, total in _counted(batch.column(3).to_pylist(), options):
                 lang = code[begin + doc]
                 order = np.lexsort((word, lang))
                 lang, word, share = lang[order], word[order], (n / total)[order]
@@ -85,20 +80,25 @@ def _language_rows(options: SpamOptions):
 
 
 def _pages(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(id, lang, text); lang is empty where it is null or und."""
+    """(id, hash, page, lang, text); lang is empty where it is null or und; hash and page together identify the text."""
     lang = F.coalesce(F.nullif(F.lower(F.trim(F.col(lang_col))), F.lit("und")), F.lit("")).alias("lang")
-    return docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), lang, F.col(text_col).alias("text"))
+    return docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"), F.xxhash64(F.md5(text_col)).alias("page"), lang, F.col(text_col).alias("text"))
+
+
+def distinct_texts(pages: DataFrame) -> DataFrame:
+    """(hash, page, lang, text): one row for each text and declared language, however many copies there are."""
+    return pages.groupBy("hash", "page", "lang").agg(F.first("text").alias("text"))
 
 
 def page_words(pages: DataFrame, options: SpamOptions) -> DataFrame:
-    """(id, page, lang, word, n, words): how often each word, as a 64-bit hash, stands on each page, and the page's
-    words; page is a hash of the text."""
-    return pages.mapInArrow(_word_rows(options), "id long, page long, lang string, word long, n long, words long")
+    """(hash, page, lang, word, n, words): how often each word, as a 64-bit hash, stands on each page, and the page's
+    words."""
+    return pages.mapInArrow(_word_rows(options), "hash long, page long, lang string, word long, n long, words long")
 
 
 def language_heads(pages: DataFrame, options: SpamOptions) -> DataFrame:
-    """(lang, word): the head of each language's prose, learned from all pages of that declared language, repeated rows
-    included. Each batch sends its sums only."""
+    """(lang, word): the head of each language's prose, learned from the distinct texts of that declared language.
+    Each batch sends its sums only."""
     sums = pages.mapInArrow(_language_rows(options), "lang string, word long, share double, held long").where("lang <> ''").groupBy("lang", "word").agg(F.sum("share").alias("share"), F.sum("held").alias("held")).persist()
     known = sums.where("word is null").select("lang", F.col("held").alias("pages")).where(F.col("pages") >= options.min_pages)
     known = known.orderBy(F.desc("pages"), "lang").limit(options.languages)
@@ -110,17 +110,25 @@ def page_curves(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, lang, words, slope, residual, head_share): for each page the language whose head covers most of it, the
     slope and residual of log frequency over log rank, and the share of head words."""
     pages = _pages(docs, id_col, text_col, lang_col)
+    keys = pages.select("id", "hash", "page", F.col("lang").alias("declared"))
+    return keys.join(text_curves(pages, options), ["hash", "page", "declared"]).drop("hash", "page", "declared")
+
+
+def text_curves(pages: DataFrame, options: SpamOptions) -> DataFrame:
+    """(hash, page, declared, lang, words, slope, residual, head_share): page_curves for each distinct text of pages and
+    declared language."""
+    pages = distinct_texts(pages).persist()
     heads = language_heads(pages, options).persist()
     known = sorted(r[0] for r in heads.select("lang").distinct().collect())
     place = F.create_map(*(F.lit(x) for k, lang in enumerate(known) for x in (lang, 1 << k))) if known else F.create_map(F.lit(""), F.lit(0))
     heads = heads.groupBy("word").agg(F.sum(place[F.col("lang")].cast("long")).alias("of"))
-    # dense ranks: rows that repeat a page repeat each point of its curve and change nothing
-    order = Window.partitionBy("id", "page").orderBy(F.desc("n"), "word")
+    # dense ranks: a text in several declared languages repeats each point of its curve, which changes nothing
+    order = Window.partitionBy("hash", "page").orderBy(F.desc("n"), "word")
     # at most head words of each of at most options.languages languages
     ranked = page_words(pages, options).join(F.broadcast(heads), "word", "left").withColumn("x", F.log(F.dense_rank().over(order))).withColumn("y", F.log("n"))
     shares = [F.coalesce(F.sum(F.when(F.col("of").bitwiseAND(F.lit(1 << k)) != 0, F.col("n"))), F.lit(0)) / F.sum("n") for k in range(len(known))]
     best = F.array_max(F.array(*(F.struct(s.alias("head_share"), F.lit(lang).alias("lang")) for s, lang in zip(shares, known)))) if known else F.struct(F.lit(0.0).alias("head_share"), F.lit(None).cast("string").alias("lang"))
-    fit = ranked.groupBy("id", "page", "words", F.col("lang").alias("declared")).agg(
+    fit = ranked.groupBy("hash", "page", "words", F.col("lang").alias("declared")).agg(
         F.count("*").alias("k"),
         F.avg("x").alias("mx"),
         F.avg("y").alias("my"),
@@ -135,7 +143,7 @@ def page_curves(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fit = fit.withColumn("slope", slope).withColumn("residual", F.sqrt(F.greatest(F.lit(0.0), syy - F.col("slope") * sxy)))
     # a page of a declared language without a model is compared with no other language's prose
     judged = F.col("declared").isin("", *known)
-    return fit.select("id", F.when(judged, F.col("best.lang")).alias("lang"), "words", "slope", "residual", F.col("best.head_share").alias("head_share"))
+    return fit.select("hash", "page", "declared", F.when(judged, F.col("best.lang")).alias("lang"), "words", "slope", "residual", F.col("best.head_share").alias("head_share"))
 
 
 def spam_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", options: SpamOptions = SpamOptions()) -> DataFrame:
@@ -145,16 +153,18 @@ def spam_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the language's most frequent ones; lists don't, whatever they repeat. A page is flagged when its share diverges from
     the median of same-language prose of comparable length (words within a factor of two) by more than options.least,
     or by options.weak with an extreme slope or residual. The language is the one whose head fits best, so a wrong or
-    missing lang does no harm; the heads are learned from all pages.
+    missing lang does no harm; heads and medians are learned from distinct texts, so copies don't make a page usual.
 
     Null ids and texts and pages with fewer than options.min_words words are never flagged, nor are pages of a language
     that has too few pages for a model. Repeated rows give one row. An empty table gives no rows.
     """
-    pages = page_curves(docs, id_col, text_col, lang_col, options).where("lang is not null").withColumn("size", F.floor(F.log2("words")).cast("int")).persist()
+    rows = _pages(docs, id_col, text_col, lang_col)
+    pages = text_curves(rows, options).where("lang is not null").withColumn("size", F.floor(F.log2("words")).cast("int")).persist()
     middle = lambda c: F.percentile_approx(c, 0.5, 10_000)
-    overall = pages.groupBy("lang").agg(middle("head_share").alias("usual"))
+    texts = pages.dropDuplicates(["hash", "page", "lang"])
+    overall = texts.groupBy("lang").agg(middle("head_share").alias("usual"))
     # medians of a language, one row each: bounded by options.languages
-    prose = pages.join(F.broadcast(overall), "lang").where(F.col("head_share") >= options.least * F.col("usual"))
+    prose = texts.join(F.broadcast(overall), "lang").where(F.col("head_share") >= options.least * F.col("usual"))
     norms = prose.groupBy("lang", "size").agg(middle("head_share").alias("m_share"), middle("slope").alias("m_slope"), middle("residual").alias("m_residual"), F.count("*").alias("pages")).where(F.col("pages") >= options.min_pages)
     spread = (
         prose.join(F.broadcast(norms), ["lang", "size"])
@@ -165,4 +175,5 @@ def spam_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     row = pages.join(F.broadcast(overall), "lang").join(F.broadcast(norm), ["lang", "size"], "left")
     part = F.col("head_share") / F.coalesce("m_share", "usual")
     extreme = (F.abs(F.col("slope") - F.col("m_slope")) > options.far * F.col("d_slope")) | (F.abs(F.col("residual") - F.col("m_residual")) > options.far * F.col("d_residual"))
-    return row.where((part < options.least) | ((part < options.weak) & F.coalesce(extreme, F.lit(False)))).select(F.col("id").alias(id_col)).distinct()
+    found = row.where((part < options.least) | ((part < options.weak) & F.coalesce(extreme, F.lit(False)))).select("hash", "page", "declared")
+    return rows.select("id", "hash", "page", F.col("lang").alias("declared")).join(found, ["hash", "page", "declared"]).select(F.col("id").alias(id_col)).distinct()

@@ -190,6 +190,14 @@ def test_spam(spark, pages):
     assert spam_pages(table.limit(0)).count() == 0
 
 
+def test_spam_with_many_copies(spark):
+    rng = random.Random(7)
+    honest = [(k, prose(rng, 200), "en") for k in range(100)]
+    copies = [(1000 + k, "cheap shoes discount offer sale boots sneakers brand " * 20, "en") for k in range(120)]
+    table = spark.createDataFrame(honest + copies, "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in spam_pages(table).collect()) == [k for k, _, _ in copies]
+
+
 def test_curves(spark):
     text = " ".join(["a"] * 16 + ["b"] * 8 + ["c"] * 4 + ["d"] * 2)
     table = spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string")
