@@ -20,18 +20,19 @@ from .charforms import count_letters_and_digits, letters_and_digits, one_form, r
 class NearDuplicateOptions:
     """shingle: words in a sequence. threshold: least similarity of a pair. blocks x rows components of 8 bits make the
     fingerprint; two fingerprints with fewer than `blocks` differing components must share a block, others do with
-    probability 1 - (1 - J**rows)**blocks (J = 0.62: 0.997, 0.7: 0.99995, 0.8: 1 - 6e-9). Raise rows and blocks together
-    for corpora far beyond 1e9 documents. min_equal: least equal components of a pair that is verified exactly, 5
-    standard deviations under what a similarity of 0.6 gives. max_sketch: most differing bits of the 64-bit sketch
-    that travels with a block, 3.5 standard deviations over what a similarity of 0.62 gives. min_letters: texts with fewer letters and digits are in no pair. hot: a block with more
+    probability 1 - (1 - J**rows)**blocks. Raise rows and blocks together for corpora far beyond 1e9 documents. min_equal:
+    least equal components of a pair that is verified exactly, 5 standard deviations under what a similarity of 0.6
+    gives. max_sketch: most differing bits of the 64-bit sketch that travels with a block, 4.4 standard deviations over
+    what a similarity of 0.6 gives. By the binomial a pair of similarity 0.6 is lost by blocks, sketch or min_equal with
+    a probability of at most 1e-4 together. min_letters: texts with fewer letters and digits are in no pair. hot: a block with more
     members is compared by many tasks."""
 
     shingle: int = 3
     threshold: float = 0.6
-    blocks: int = 36
+    blocks: int = 68
     rows: int = 4
-    min_equal: int = 54
-    max_sketch: int = 23
+    min_equal: int = 122
+    max_sketch: int = 27
     min_letters: int = 40
     hot: int = 4096
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
@@ -170,3 +171,21 @@ def test_chain_and_coverage():
     assert chain([(0, 5), (3, 1), (6, 4), (9, 9)]) == [(3, 1), (6, 4), (9, 9)]
     a, b = np.array([1, 2, 3, 4, 5, 9]), np.array([7, 2, 3, 4, 5, 8])
     assert covered(a, b, [(2, 2)], 2) == 4
+
+
+def test_pairs_at_the_threshold(spark):
+    rows = []
+    for k in range(600):
+        shared = " ".join(f"s{k}x{i}" for i in range(77))
+        rows += [(2 * k, shared + "".join(f" a{k}x{i}" for i in range(25))), (2 * k + 1, shared + "".join(f" b{k}x{i}" for i in range(25)))]
+    # 75 of 125 three-word sequences
+    found = near_duplicates(spark.createDataFrame(rows, "story_id long, text string"))
+    assert pairs(found) == [(2 * k, 2 * k + 1) for k in range(600)]
+
+
+def test_joint_miss_at_the_threshold():
+    options = NearDuplicateOptions()
+    below = lambda n, p, k: sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k))
+    j = options.threshold
+    blocks, sketch, equal = (1 - j**options.rows) ** options.blocks, 1 - below(64, (1 - j) / 2, options.max_sketch + 1), below(options.size, j, options.min_equal)
+    assert blocks + sketch + equal < 1e-4
