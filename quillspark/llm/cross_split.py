@@ -21,12 +21,13 @@ from .near_duplicates import NearDuplicateOptions, fingerprints, similar
 @dataclass(frozen=True)
 class CrossSplitOptions:
     """gram: words in a rolling hash. window: hashes of which the least is selected; runs of gram + window - 1 equal
-    words always share one. max_filter_bytes: bound of the membership filter of selected evaluation hashes. max_sketch:
+    words always share one. short: texts with fewer words select all their hashes. max_filter_bytes: bound of the membership filter of selected evaluation hashes. max_sketch:
     most differing bits of 128 in the sketches of two texts (a similarity of 0.6 gives 26, standard deviation 4.5).
     hot: a hash with more evaluation texts x training texts is joined by many tasks."""
 
-    gram: int = 10
-    window: int = 6
+    gram: int = 5
+    window: int = 4
+    short: int = 64
     shingle: int = 3
     threshold: float = 0.6
     min_letters: int = 40
@@ -78,6 +79,8 @@ def _print_rows(options: CrossSplitOptions, bits=None):
                 words = WordHashes(texts[begin:end])
                 hashes, where = words.grams(options.gram)
                 chosen = winnow(hashes, words.doc[where], options.window)
+                short = np.diff(words.first)[words.doc[where]] < options.short
+                chosen = np.union1d(chosen, np.flatnonzero(short))
                 if bits is not None:
                     chosen = chosen[contains(bits.value, hashes[chosen])]
                 doc = words.doc[where[chosen]]

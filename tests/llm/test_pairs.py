@@ -189,3 +189,17 @@ def test_joint_miss_at_the_threshold():
     j = options.threshold
     blocks, sketch, equal = (1 - j**options.rows) ** options.blocks, 1 - below(64, (1 - j) / 2, options.max_sketch + 1), below(options.size, j, options.min_equal)
     assert blocks + sketch + equal < 1e-4
+
+
+def test_cross_split_short_texts_and_spread_edits(spark):
+    rows = []
+    for k in range(40):
+        few = [f"word{k}x{i}" for i in range(8)]
+        many = [f"long{k}x{i}" for i in range(65)]
+        edited = [f"new{k}x{i}" if i % 12 == 11 else w for i, w in enumerate(many)]
+        for n, (a, b) in enumerate(((few, few[:7]), (many, edited))):
+            rows += [(1000 * n + 2 * k, " ".join(a), "s", "train"), (1000 * n + 2 * k + 1, " ".join(b), "s", "test")]
+    stories = spark.createDataFrame(rows, "story_id long, text string, source string, hub_split string")
+    integrity = spark.createDataFrame([("s", ("'train'", None, "'test'"))], "source string, split_protocol struct<train: string, validation: string, test: string>")
+    found = {(r["id_lo"], r["id_hi"]) for r in overlap_pairs(stories, integrity).collect()}
+    assert found == {(r[0], r[0] + 1) for r in rows[::2]}
