@@ -16,13 +16,14 @@ MAX_BYTES = 16 << 20
 _PART = 1 << 16
 
 
-def _slots(values: np.ndarray, size: int) -> np.ndarray:
-    return mix(values.view(np.uint64)) & np.uint64(8 * size - 1)
+def slots_of(values: np.ndarray, slots: int) -> np.ndarray:
+    """The slot of each 64-bit value; slots is a power of two."""
+    return mix(values.view(np.uint64)) & np.uint64(slots - 1)
 
 
 def contains(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Which of the 64-bit values may be in the set."""
-    slot = _slots(values, len(bits))
+    slot = slots_of(values, 8 * len(bits))
     return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
 
 
@@ -32,7 +33,7 @@ def _rows(size: int):
         for batch in batches:
             for column in batch.columns:
                 values = np.frombuffer(b"".join(column.to_pylist()), np.int64) if pa.types.is_binary(column.type) else column.to_numpy()
-                bits[_slots(values, size)] = True
+                bits[slots_of(values, 8 * size)] = True
         packed = np.packbits(bits, bitorder="little")
         at = [i for i in range(0, size, _PART) if packed[i : i + _PART].any()]
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([packed[i : i + _PART].tobytes() for i in at], pa.binary())], names=["at", "bits"])
