@@ -91,16 +91,23 @@ def is_odd(token: str) -> bool:
 
 
 _ASCII_DROP = bytes(i for i in range(128) if not chr(i).isalnum())
-#: Lower case; and v as n, since the Greek letter that looks like v has a capital that looks like N.
-_ASCII_FOLD = bytes(ord("n") if chr(i) in "vV" else ord(chr(i).lower()) if i < 128 else i for i in range(256))
+_ASCII_FOLD = bytes(ord(chr(i).lower()) if i < 128 else i for i in range(256))
 _BEYOND_ASCII = re.compile("[^\x00-\x7f]")
 _FOLDED = _Memo(lambda ch: _CAPITALS.get(ch, ch) if ch.isalnum() else "")
+_FOREIGN = re.compile("[\u0370-\u052f\u1f00-\u1fff]")
+#: A word in which a Greek or Cyrillic letter is left.
+_FOREIGN_WORD = re.compile("[^\\W\\d_]*[\u0370-\u052f\u1f00-\u1fff][^\\W\\d_]*")
+#: The Greek letter that looks like v has a capital that looks like N; in words of Latin letters v is v.
+_NU = str.maketrans("vV", "nN")
 
 
 def letters_and_digits(form: str) -> bytes:
     """Letters and digits of a one form in their order, case ignored, as UTF-8."""
     if not form.isascii():
-        form = _BEYOND_ASCII.sub(lambda m: _FOLDED[m.group()], form.casefold())
+        form = form.casefold()
+        if _FOREIGN.search(form):
+            form = _FOREIGN_WORD.sub(lambda m: m.group().translate(_NU), form)
+        form = _BEYOND_ASCII.sub(lambda m: _FOLDED[m.group()], form)
     return form.encode("utf-8", "surrogatepass").translate(_ASCII_FOLD, _ASCII_DROP)
 
 
@@ -121,6 +128,7 @@ def word_text(form: str) -> str:
 
 
 _WORD = re.compile(r"[^\W_]+")
+_BLANKS = bytes(i if i > 127 or chr(i).isalnum() else 32 for i in range(256))
 
 
 def words(text: str) -> list[str]:
@@ -128,6 +136,11 @@ def words(text: str) -> list[str]:
     return _WORD.findall(word_text(one_form(text)))
 
 
+def word_key(text: str) -> bytes:
+    """16 bytes for a text as of word_text, equal for the same sequence of words."""
+    return blake2b(b" ".join(text.encode("utf-8", "surrogatepass").translate(_BLANKS).split()), digest_size=16).digest()
+
+
 #: Labels of the corpus' records; a parameter of the functions below.
 LABELS = ("words", "features", "summary", "story", "age")
 
@@ -137,7 +150,7 @@ def _label_pattern(labels: tuple[str, ...]) -> re.Pattern:
     return re.compile(rf"(?:\A|[\n|]|(?<=\s))[\s*_~]*(?:#+[\s*_~]*({name})(?![^\W_])[\s*_~]*:?|({name})[\s*_~]*:)", re.I)
 
 
-_PATTERNS: dict[tuple[str, ...], re.Pattern] = {}
+_PATTERNS: dict[tuple[str, ...], tuple[re.Pattern, re.Pattern]] = {}
 
 
 def record_fields(form: str, labels: tuple[str, ...] = LABELS) -> list[tuple[str, str]] | None:
@@ -153,19 +166,32 @@ def record_fields(form: str, labels: tuple[str, ...] = LABELS) -> list[tuple[str
             return [(str(k), v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)) for k, v in parsed.items()]
         return None
     if labels not in _PATTERNS:
-        _PATTERNS[labels] = _label_pattern(labels)
-    found = list(_PATTERNS[labels].finditer(form))
+        _PATTERNS[labels] = re.compile(rf"[\s*_~#|]*(?:{'|'.join(map(re.escape, labels))})", re.I), _label_pattern(labels)
+    begins, each = _PATTERNS[labels]
+    if begins.match(form) is None:
+        return None
+    found = list(each.finditer(form))
     if len(found) < 2 or form[: found[0].start()].strip(" \t\r\n*_~#") or len({(m[1] or m[2]).lower() for m in found}) < len(found):
         return None
     ends = [m.start() for m in found[1:]] + [len(form)]
     return [((m[1] or m[2]), form[m.end() : e]) for m, e in zip(found, ends)]
 
 
-def record_key(form: str, flat: bytes | None = None, labels: tuple[str, ...] = LABELS) -> bytes:
-    """16 bytes that are equal for the same record: of the letters and digits, or of the sorted labelled fields."""
+def field_key(form: str, labels: tuple[str, ...] = LABELS) -> bytes | None:
+    """16 bytes that are equal for records of labelled fields with the same values, in any order and layout; None for
+    other texts."""
     fields = record_fields(form, labels)
-    if fields is not None:
-        flat = b"\x01" + b"\x02".join(sorted(letters_and_digits(k) + b"\x03" + letters_and_digits(v) for k, v in fields))
-    elif flat is None:
-        flat = letters_and_digits(form)
+    if fields is None:
+        return None
+    flat = b"\x01" + b"\x02".join(sorted(letters_and_digits(k) + b"\x03" + letters_and_digits(v) for k, v in fields))
     return blake2b(flat, digest_size=16).digest()
+
+
+def flat_key(flat: bytes) -> bytes:
+    """16 bytes that are equal for equal letters and digits."""
+    return blake2b(flat, digest_size=16).digest()
+
+
+def record_key(form: str, flat: bytes | None = None, labels: tuple[str, ...] = LABELS) -> bytes:
+    """16 bytes that are equal for the same record: of the sorted labelled fields, else of the letters and digits."""
+    return field_key(form, labels) or flat_key(letters_and_digits(form) if flat is None else flat)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,30 +11,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.wordhash import WordHashes, chunks
+from ..functions.wordhash import WordHashes, chunks, mix
 from ..operators.bitmap import MAX_BYTES, contains, membership_bitmap, only_possible
 from ..operators.protocol import with_role
+from ..operators.skew import SlotCounts, join_groups, slot_counts
 from ..session import checkpoint
-from .charforms import count_letters_and_digits, letters_and_digits, one_form, record_key, word_text
+from .charforms import count_letters_and_digits, field_key, flat_key, letters_and_digits, one_form, word_key, word_text
+from .classes import Classes, expand
 from .near_duplicates import NearDuplicateOptions, fingerprints, similar
 
 
 @dataclass(frozen=True)
 class CrossSplitOptions:
     """gram: words in a rolling hash. window: hashes of which the least is selected; runs of gram + window - 1 equal
-    words always share one. short: texts with fewer words select all their hashes. max_filter_bytes: bound of the membership filter of selected evaluation hashes. max_sketch:
-    most differing bits of 128 in the sketches of two texts (a similarity of 0.6 gives 26, standard deviation 4.5).
-    hot: a hash with more evaluation texts x training texts is joined by many tasks."""
+    words always share one. share: part of the larger one's selected hashes that two similar texts have in common at least
+    (evenly spread edits down to a similarity of 0.6 leave 0.27 or more). shared: seeds that a pair must have. short: texts
+    with fewer different sequences of `shingle` words are found by these sequences, exactly. max_sketch: most
+    differing bits of 64 in the sketches of two texts, 4.4 standard deviations over what a similarity of 0.6 gives
+    (probability of a loss 1e-5). max_filter_bytes: bound of the membership filter of the evaluation texts' hashes; slots: of
+    the table of their counts. hot: more members of a hash are joined by many tasks."""
 
     gram: int = 5
     window: int = 4
+    share: float = 0.2
+    shared: int = 2
     short: int = 64
     shingle: int = 3
     threshold: float = 0.6
     min_letters: int = 40
-    max_sketch: int = 46
+    max_sketch: int = 27
     max_filter_bytes: int = MAX_BYTES
-    hot: int = 1 << 20
+    slots: int = 1 << 20
+    hot: int = 4096
 
 
 def winnow(hashes: np.ndarray, doc: np.ndarray, window: int) -> np.ndarray:
@@ -57,151 +66,159 @@ def winnow(hashes: np.ndarray, doc: np.ndarray, window: int) -> np.ndarray:
     return np.flatnonzero(selected)
 
 
-_SKETCH = NearDuplicateOptions(blocks=32, rows=4)
+_SKETCH = NearDuplicateOptions(components=64)
 
 
-def _print_rows(options: CrossSplitOptions, bits=None):
-    """(id, role, text) -> (id, role, record, sketch, grams, places); with bits, a broadcast bitmap, only hashes that may be in it."""
+@dataclass(frozen=True)
+class SeedOrder:
+    """One order of all hashes, rarest first: those that no evaluation text has, then by how many evaluation texts have them,
+    as a filter and a table of bounded size tell. Any order would do, as long as all texts share it."""
+
+    bits: np.ndarray
+    counts: SlotCounts
+
+    def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of hashes in the order, and which of them an evaluation text may have."""
+        known = contains(self.bits, hashes)
+        often = np.where(known, np.minimum(self.counts.of(hashes) + 1, (1 << 20) - 1), 0).astype(np.uint64)
+        return (often << np.uint64(44)) | (hashes >> np.uint64(20)), known
+
+
+def _own_grams(words: WordHashes, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all runs of k words, and the text of each."""
+    hashes, where = words.grams(k)
+    return hashes, words.doc[where]
+
+
+def _different(doc: np.ndarray, *values: np.ndarray) -> np.ndarray:
+    """Indexes of the different rows of each text, sorted by text and values."""
+    order = np.lexsort((*values[::-1], doc))
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.logical_or.reduce([x[order][1:] != x[order][:-1] for x in (doc, *values)])
+    return order[new]
+
+
+def _rarest(doc: np.ndarray, place: np.ndarray, hashes: np.ndarray, share: float, shared: int) -> np.ndarray:
+    """Of the different hashes of each text, indexes of the rarest that must hold `shared` of those that it has in common
+    with another text, if these are at least `share` of them all."""
+    at = _different(doc, place, hashes)
+    first = np.flatnonzero(np.concatenate([[True], doc[at][1:] != doc[at][:-1]])) if len(at) else np.zeros(0, np.int64)
+    size = np.diff(np.concatenate([first, [len(at)]]))
+    rank, n = np.arange(len(at)) - np.repeat(first, size), np.repeat(size, size)
+    return at[rank < n - np.ceil(share * n - 1e-9) + shared]
+
+
+def _eval_grams(options: CrossSplitOptions):
+    """(text) -> packed hashes of all runs of words that may be seeds."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [word_text(one_form(t)) for t in batch.column(0).to_pylist()]
+            for begin, end in chunks(texts):
+                words = WordHashes(texts[begin:end])
+                few, doc = _own_grams(words, options.shingle)
+                few = few[np.bincount(doc[_different(doc, few)], minlength=end - begin)[doc] < _reach(options)]
+                yield pa.RecordBatch.from_arrays([pa.array([_own_grams(words, options.gram)[0].tobytes(), few.tobytes()], pa.binary())], names=["grams"])
+
+    return rows
+
+
+def _reach(options: CrossSplitOptions) -> float:
+    """A text with as many different sequences or more is similar to no short text."""
+    return options.short / options.threshold
+
+
+def _print_rows(options: CrossSplitOptions, order):
+    """(id, role, text) -> (id, role, words, flat, fields, sketch, seeds, few): the seeds are the rarest selected hashes,
+    few the rarest sequences of short texts and those that can be similar to one; both only if an evaluation text may
+    have them."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, roles, keys, texts = [], [], [], []
+            ids, roles, plain, fields, texts = [], [], [], [], []
             for i, role, text in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 form = one_form(text)
                 flat = letters_and_digits(form)
                 if count_letters_and_digits(flat) >= options.min_letters:
                     ids.append(i)
                     roles.append(role)
-                    keys.append(record_key(form, flat))
+                    plain.append(flat_key(flat))
+                    fields.append(field_key(form))
                     texts.append(word_text(form))
-            grams, places = [], []
+            seeds, few = [], []
+
+            def packed(doc: np.ndarray, hashes: np.ndarray, n: int) -> list[bytes]:
+                cut = np.searchsorted(doc, np.arange(n + 1))
+                return [hashes[a:b].tobytes() for a, b in zip(cut, cut[1:])]
+
             for begin, end in chunks(texts):
-                words = WordHashes(texts[begin:end])
-                hashes, where = words.grams(options.gram)
-                chosen = winnow(hashes, words.doc[where], options.window)
-                short = np.diff(words.first)[words.doc[where]] < options.short
-                chosen = np.union1d(chosen, np.flatnonzero(short))
-                if bits is not None:
-                    chosen = chosen[contains(bits.value, hashes[chosen])]
-                doc = words.doc[where[chosen]]
-                place = (where[chosen] - words.first[doc]).astype(np.int32)
-                cut = np.searchsorted(doc, np.arange(end - begin + 1))
-                grams += [hashes[chosen[a:b]].tobytes() for a, b in zip(cut, cut[1:])]
-                places += [place[a:b].tobytes() for a, b in zip(cut, cut[1:])]
-            prints, _ = fingerprints(texts, _SKETCH)
-            sketch = np.packbits(prints & 1, axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(roles, pa.string()), pa.array(keys, pa.binary()), pa.array([s.tobytes() for s in sketch], pa.binary()), pa.array(grams, pa.binary()), pa.array(places, pa.binary())],
-                names=["id", "role", "record", "sketch", "grams", "places"],
-            )
+                n, words = end - begin, WordHashes(texts[begin:end])
+                hashes, doc = _own_grams(words, options.shingle)
+                size = np.bincount(doc[_different(doc, hashes)], minlength=n)
+                near = size[doc] < _reach(options)
+                hashes, doc = hashes[near], doc[near]
+                place, known = order.value.of(hashes)
+                at = _rarest(doc, place, hashes, options.threshold, 1)
+                at = at[known[at]]
+                few += packed(doc[at], hashes[at], n)
+                hashes, doc = _own_grams(words, options.gram)
+                far = size[doc] >= options.short
+                hashes, doc = hashes[far], doc[far]
+                place, known = order.value.of(hashes)
+                chosen = winnow(place, doc, options.window)
+                hashes, doc, place, known = hashes[chosen], doc[chosen], place[chosen], known[chosen]
+                at = _rarest(doc, place, hashes, options.share, options.shared)
+                at = at[known[at]]
+                seeds += packed(doc[at], hashes[at], n)
+            sketch = np.packbits(fingerprints(texts, _SKETCH)[0] & 1, axis=1).view(np.int64).ravel()
+            columns = [pa.array(ids, pa.int64()), pa.array(roles, pa.string()), pa.array([word_key(t) for t in texts], pa.binary()), pa.array(plain, pa.binary()), pa.array(fields, pa.binary()), pa.array(sketch, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(seeds, pa.binary()), pa.array(few, pa.binary())], names=["id", "role", "words", "flat", "fields", "sketch", "seeds", "few"])
 
     return rows
 
 
-_PRINT = "id long, role string, record binary, sketch binary, grams binary, places binary"
+_PRINT = "id long, role string, words binary, flat binary, fields binary, sketch long, seeds binary, few binary"
 
 
-def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, side, sketch, grams, places) -> a row for each selected hash."""
-    for batch in batches:
-        grams = batch.column(3).to_pylist()
-        n = np.array([len(g) // 8 for g in grams], np.int64)
-        if not n.sum():
-            continue
-        sketch = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.frombuffer(b"".join(grams), np.int64))] + [pa.array(np.repeat(x, n)) for x in (batch.column(1).to_numpy(), batch.column(0).to_numpy(), sketch[:, 0], sketch[:, 1])] + [pa.array(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.int32))],
-            names=["gram", "side", "id", "s1", "s2", "place"],
-        )
-
-
-_GRAM = "gram long, side int, id long, s1 long, s2 long, place int"
-
-
-def _seed_rows(options: CrossSplitOptions, keys: int):
-    """From rows sorted by the first `keys` columns, then side: (eval_id, train_id, eval_place, train_place) of rows of
-    both sides with equal keys and near sketches; with one key, rows of hot keys as they are."""
-    names = ["eval_id", "train_id", "eval_place", "train_place", "gram", "side", "s1", "s2", "slices"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
-
-    def joined(x: dict[str, np.ndarray], first: np.ndarray, evals: np.ndarray, ends: np.ndarray):
-        """first: where a key begins; evals: where its training rows begin; ends: where it ends."""
-        left = np.concatenate([np.arange(a, m) for a, m in zip(first, evals)])
-        wide = np.repeat(ends - evals, evals - first)
-        begin = np.repeat(evals, evals - first)
-        total = np.cumsum(wide)
-        for lo in range(0, len(left), 4096):
-            hi = min(lo + 4096, len(left))
-            w = wide[lo:hi]
-            a = np.repeat(left[lo:hi], w)
-            b = np.arange(len(a)) - np.repeat(total[lo:hi] - w - (total[lo - 1] if lo else 0), w) + np.repeat(begin[lo:hi], w)
-            far = np.bitwise_count((x["s1"][a] ^ x["s1"][b]).view(np.uint64)).astype(np.int16) + np.bitwise_count((x["s2"][a] ^ x["s2"][b]).view(np.uint64))
-            a, b = a[far <= options.max_sketch], b[far <= options.max_sketch]
-            if len(a):
-                cols = [pa.array(x["id"][a]), pa.array(x["id"][b]), pa.array(x["place"][a]), pa.array(x["place"][b])]
-                yield pa.RecordBatch.from_arrays(cols + [pa.nulls(len(a), k) for k in kinds[4:]], names=names)
-
-    def close(x: dict[str, np.ndarray], key: np.ndarray):
-        n = len(key)
-        if not n:
-            return
-        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
-        ends = np.concatenate([first[1:], [n]])
-        evals = first + np.add.reduceat((x["side"] == 0).astype(np.int64), first)
-        pairs = (evals - first) * (ends - evals)
-        if keys == 1 and (pairs > options.hot).any():
-            for k in np.flatnonzero(pairs > options.hot):
-                s, m = slice(first[k], ends[k]), int(ends[k] - first[k])
-                slices = np.full(m, max(2, int(np.ceil(np.sqrt(pairs[k] / options.hot)))), np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(x["id"][s]), pa.nulls(m, kinds[1]), pa.array(x["place"][s]), pa.nulls(m, kinds[3])] + [pa.array(x[c][s]) for c in ("gram", "side", "s1", "s2")] + [pa.array(slices)], names=names)
-        use = (pairs > 0) & ((pairs <= options.hot) | (keys > 1))
-        if use.any():
-            yield from joined(x, first[use], evals[use], ends[use])
+def _seed_rows(options: CrossSplitOptions, loads, side: int):
+    """(id, sketch, seeds, few) -> (gram, tile, id, sketch, weight): a row for each seed. The rows of a hot hash are cut into
+    parts on both sides, and each pair of parts is a tile."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = {c: batch.column(c).to_numpy() for c in batch.schema.names}
-            if rest is not None:
-                now = {c: np.concatenate([rest[c], now[c]]) for c in now}
-            key = np.stack([now[c] for c in list(now)[:keys]], 1)
-            cut = int(np.flatnonzero((key == key[-1]).all(1))[0])
-            yield from close({c: v[:cut] for c, v in now.items()}, key[:cut])
-            rest = {c: v[cut:] for c, v in now.items()}
-        if rest is not None:
-            yield from close(rest, np.stack([rest[c] for c in list(rest)[:keys]], 1))
+            for column, weight in ((2, 1), (3, options.shared)):
+                packed = batch.column(column).to_pylist()
+                n = np.array([len(g) // 8 for g in packed], np.int64)
+                if not n.sum():
+                    continue
+                gram = np.frombuffer(b"".join(packed), np.int64)
+                of = np.repeat(np.arange(len(n)), n)
+                mine, theirs = (load.parts(gram, options.hot) for load in (loads.value[side], loads.value[1 - side]))
+                other = np.arange(int(theirs.sum())) - np.repeat(np.cumsum(theirs) - theirs, theirs)
+                gram, of, mine, theirs = (np.repeat(x, theirs) for x in (gram, of, mine, theirs))
+                ids = batch.column(0).to_numpy()[of]
+                own = (mix(ids.view(np.uint64)) % mine.astype(np.uint64)).astype(np.int64)
+                tile = own * theirs + other if side == 0 else other * mine + own
+                sketch = batch.column(1).to_numpy()[of]
+                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(tile.astype(np.int32)), pa.array(ids), pa.array(sketch), pa.array(np.full(len(gram), weight, np.int32))], names=["gram", "tile", "id", "sketch", "weight"])
 
     return rows
 
 
-_SEED = "eval_id long, train_id long, eval_place int, train_place int, gram long, side int, s1 long, s2 long, slices int"
-
-
 def seeds(evals: DataFrame, trains: DataFrame, options: CrossSplitOptions) -> DataFrame:
-    """(eval_id, train_id, eval_place, train_place) of equal selected hashes. The rows of a hot hash are cut into
-    slices of both sides, and each pair of slices is joined by its own task."""
-    grams = evals.select("id", F.lit(0).alias("side"), "sketch", "grams", "places").union(trains.select("id", F.lit(1).alias("side"), "sketch", "grams", "places")).mapInArrow(_gram_rows, _GRAM)
-    found = grams.repartition("gram").sortWithinPartitions("gram", "side").mapInArrow(_seed_rows(options, 1), _SEED).persist()
-    own = F.pmod(F.xxhash64("eval_id", "eval_place"), F.col("slices")).cast("int")
-    tiles = (
-        found.where("train_id is null")
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-        .select("gram", F.expr("if(side = 0, own, other)").alias("a"), F.expr("if(side = 0, other, own)").alias("b"), "side", F.col("eval_id").alias("id"), "s1", "s2", F.col("eval_place").alias("place"))
-        .repartition("gram", "a", "b")
-        .sortWithinPartitions("gram", "a", "b", "side")
-        .mapInArrow(_seed_rows(options, 3), _SEED)
-    )
-    return found.where("train_id is not null").union(tiles).select("eval_id", "train_id", "eval_place", "train_place")
+    """(lo, hi) of evaluation and training texts (id, sketch, seeds, few) that share enough seeds and have near sketches."""
+    sides = [side.select("id", "sketch", "seeds", "few") for side in (evals, trains)]
+    loads = evals.sparkSession.sparkContext.broadcast([slot_counts(side.select("seeds", "few")) for side in sides])
+    left, right = (side.mapInArrow(_seed_rows(options, loads, k), "gram long, tile int, id long, sketch long, weight int") for k, side in enumerate(sides))
+    right = right.select("gram", "tile", F.col("id").alias("hi"), F.col("sketch").alias("other"))
+    met = left.join(right, ["gram", "tile"]).where(F.bit_count(F.col("sketch").bitwiseXOR(F.col("other"))) <= options.max_sketch)
+    return met.groupBy(F.col("id").alias("lo"), "hi").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= options.shared).select("lo", "hi")
 
 
 def chain(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest subsequence of seeds (eval_place, train_place) that rises in both; of several the one that ends
     first in the evaluation text."""
-    from bisect import bisect_left
-
     tails: list[int] = []
     ends: list[int] = []
     back: list[int] = []
@@ -237,70 +254,103 @@ def covered(left: np.ndarray, right: np.ndarray, seeds: list[tuple[int, int]], g
     return int(hit.sum())
 
 
+def _same_places(left: np.ndarray, right: np.ndarray, gram: int, window: int) -> list[tuple[int, int]]:
+    """Seeds (place, place) of two texts' word hashes: equal selected hashes, the k-th with the k-th where one repeats."""
+    found = []
+    for words in (left, right):
+        n = len(words) - gram + 1
+        if n <= 0:
+            return []
+        rolled = np.zeros(n, np.uint64)
+        for k in range(gram):
+            rolled = mix(rolled * np.uint64(31) + words[k : n + k])
+        at = winnow(rolled, np.zeros(n, np.int64), window)
+        order = np.lexsort((at, rolled[at]))
+        at = at[order]
+        new = np.flatnonzero(np.concatenate([[True], rolled[at][1:] != rolled[at][:-1]]))
+        nth = np.arange(len(at)) - np.repeat(new, np.diff(np.concatenate([new, [len(at)]])))
+        found.append((at, mix(rolled[at] + nth.astype(np.uint64))))
+    (a, x), (b, y) = found
+    _, i, j = np.intersect1d(x, y, return_indices=True)
+    return list(zip(a[i].tolist(), b[j].tolist()))
+
+
 def _verify_rows(options: CrossSplitOptions):
-    """(eval_id, train_id, seeds, eval_text, train_text) -> similar pairs with the share of the evaluation text's words
-    in aligned runs."""
+    """(lo, hi, eval_text, train_text) -> similar pairs with the share of the evaluation text's words in aligned runs."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             keep = similar(left, right, options.shingle, options.threshold)
             share = []
             for i in np.flatnonzero(keep):
                 words = WordHashes([word_text(one_form(t)) for t in (left[i], right[i])])
                 a, b = words.hashes[: words.first[1]], words.hashes[words.first[1] :]
-                at = chain([(s["e"], s["t"]) for s in batch.column(2)[i].as_py()])
-                share.append(covered(a, b, at, options.gram) / len(a))
+                gram, window = (options.gram, options.window) if min(len(a), len(b)) >= options.short else (options.shingle, 1)
+                share.append(covered(a, b, chain(_same_places(a, b, gram, window)), gram) / len(a))
             mask = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask), pa.array(share, pa.float64())], names=["eval_id", "train_id", "coverage"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask), pa.array(share, pa.float64())], names=["lo", "hi", "coverage"])
 
     return rows
 
 
+def _same_records(evals: DataFrame, trains: DataFrame, options: CrossSplitOptions) -> DataFrame:
+    """(x, y, l_role) of rows (id, role, flat, fields) with the same letters and digits or the same labelled fields."""
+
+    def keyed(rows: DataFrame, *more: str) -> DataFrame:
+        return rows.select(F.explode(F.array_compact(F.array("flat", "fields"))).alias("key"), "id", *more)
+
+    left, right = keyed(evals, "role").persist(), keyed(trains).select(F.xxhash64("key").alias("slot"), "key", "id")
+    total = left.count()
+    right = only_possible(right, membership_bitmap(left.select(F.xxhash64("key")), total, options.max_filter_bytes)).drop("slot").persist()
+    sizes = left.groupBy("key").agg(F.count("*").alias("ln")).join(right.groupBy("key").agg(F.count("*").alias("rn")), "key").persist()
+    left = join_groups(left, sizes, ["key"], "ln", total).select(F.col("key").alias("rep"), F.col("ln").alias("n"), "id", "role")
+    right = join_groups(right, sizes, ["key"], "rn", right.count()).select(F.col("key").alias("rep"), F.col("rn").alias("n"), "id")
+    return expand(sizes.select(F.col("key").alias("lo"), F.col("key").alias("hi")), left, right, options.hot)
+
+
 def cross_split_overlaps(stories: DataFrame, integrity: DataFrame, options: CrossSplitOptions = CrossSplitOptions()) -> DataFrame:
     """(eval_id, train_id, eval_split, coverage): stories of the test and validation splits that are the same record as
     a story of a training split, of any source, or similar to it by at least options.threshold. coverage: the share of
     the evaluation text's words in aligned runs, 1 for the same record.
 
-    Winnowed hashes of evaluation texts make a bounded membership filter, so training texts send only hashes that can
-    have a partner. Copies of a record are one row until the end. Equal hashes join; sketches sort out chance
-    meetings; seeds are chained, extended by alignment and checked against the exact similarity.
+    Rolling hashes are winnowed by one order of all hashes, rarest first, so equal runs select equal hashes and what
+    every story says is selected last. Of its selected hashes a text sends the rarest, as many as must hold those that
+    it shares with a similar text (of sequences that no evaluation text has, none); short texts do the same with all
+    their three-word sequences, which loses nothing. Equal hashes join; sketches sort out chance meetings; the seeds
+    of a pair are chained, extended by alignment and checked against the exact similarity. Texts with the same words
+    are one row until the end.
 
     Stories in no split, null ids and null texts and texts with fewer than options.min_letters letters and digits are
     no case. Other columns are ignored. Empty tables give no rows.
     """
+    share = stories.sparkSession.sparkContext.broadcast
     rows = with_role(stories.where("text is not null and story_id is not null").select("story_id", "source", "hub_split", "text"), integrity)
     rows = rows.select(F.col("story_id").alias("id"), "role", "text")
-    evals = rows.where("role <> 'train'").mapInArrow(_print_rows(options), _PRINT).persist()
-    chosen = evals.agg(F.coalesce(F.sum(F.length("grams") / 8), F.lit(0)).cast("long")).first()[0]
-    bits = stories.sparkSession.sparkContext.broadcast(membership_bitmap(evals.select("grams"), chosen, options.max_filter_bytes))
-    trains = rows.where("role = 'train'").mapInArrow(_print_rows(options, bits), _PRINT).persist()
-
-    def classes(side: DataFrame) -> DataFrame:
-        rep = F.min(F.struct("id", "sketch", "grams", "places"))
-        return side.groupBy("record").agg(rep.alias("r")).select("record", "r.*")
-
-    eval_reps, train_reps = classes(evals), classes(trains)
-    found = seeds(eval_reps, train_reps, options).groupBy("eval_id", "train_id").agg(F.collect_set(F.struct(F.col("eval_place").alias("e"), F.col("train_place").alias("t"))).alias("seeds"))
+    tests = rows.where("role <> 'train'")
+    grams = tests.select("text").mapInArrow(_eval_grams(options), "grams binary")
+    expected = tests.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("long")).first()[0] // 4
+    order = share(SeedOrder(membership_bitmap(grams, expected, options.max_filter_bytes), slot_counts(grams, options.slots)))
+    evals = tests.mapInArrow(_print_rows(options, order), _PRINT).persist()
+    trains = rows.where("role = 'train'").mapInArrow(_print_rows(options, order), _PRINT).persist()
+    eval_classes, train_classes = Classes(evals), Classes(trains)
     # small, and the result of the costly stages before
-    found = checkpoint(found)
-    pairs = membership_bitmap(found.select("eval_id", "train_id"), 2 * found.count(), options.max_filter_bytes)
+    found = checkpoint(seeds(eval_classes.representatives(), train_classes.representatives(), options))
+    pairs = membership_bitmap(found, 2 * found.count(), options.max_filter_bytes)
     text = only_possible(stories.where("text is not null and story_id is not null").select(F.col("story_id").alias("id"), "text"), pairs)
     near = (
-        found.join(text.select(F.col("id").alias("eval_id"), F.col("text").alias("eval_text")), "eval_id")
-        .join(text.select(F.col("id").alias("train_id"), F.col("text").alias("train_text")), "train_id")
-        .select("eval_id", "train_id", "seeds", "eval_text", "train_text")
-        .mapInArrow(_verify_rows(options), "eval_id long, train_id long, coverage double")
+        found.join(text.select(F.col("id").alias("lo"), F.col("text").alias("eval_text")), "lo")
+        .join(text.select(F.col("id").alias("hi"), F.col("text").alias("train_text")), "hi")
+        .select("lo", "hi", "eval_text", "train_text")
+        .mapInArrow(_verify_rows(options), "lo long, hi long, coverage double")
+        .persist()
     )
-    same = eval_reps.select("record", F.col("id").alias("eval_id")).join(train_reps.select("record", F.col("id").alias("train_id")), "record").select("eval_id", "train_id", F.lit(1.0).alias("coverage"))
-    linked = near.union(same).groupBy("eval_id", "train_id").agg(F.max("coverage").alias("coverage"))
-    eval_members = evals.select("record", F.col("id").alias("x"), "role").join(eval_reps.select("record", F.col("id").alias("eval_id")), "record").drop("record")
-    train_members = trains.select("record", F.col("id").alias("y")).join(train_reps.select("record", F.col("id").alias("train_id")), "record").drop("record")
+    similar_ones = expand(near, eval_classes.members(near.select("lo"), ["role"]), train_classes.members(near.select("hi"), []), options.hot)
+    same = _same_records(evals, trains, options).withColumn("coverage", F.lit(1.0))
     return (
-        linked.join(eval_members, "eval_id")
-        .join(train_members, "train_id")
+        similar_ones.unionByName(same)
         .where("x <> y")
-        .groupBy(F.col("x").alias("eval_id"), F.col("y").alias("train_id"), F.col("role").alias("eval_split"))
+        .groupBy(F.col("x").alias("eval_id"), F.col("y").alias("train_id"), F.col("l_role").alias("eval_split"))
         .agg(F.max("coverage").alias("coverage"))
     )
 

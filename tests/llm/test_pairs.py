@@ -12,7 +12,7 @@ from quillspark.llm import charforms as C
 from quillspark.llm.cross_split import CrossSplitOptions, chain, covered, cross_split_overlaps, overlap_pairs, overlap_report
 from quillspark.llm.format_copies import copy_counts, format_copies
 from quillspark.llm.lookalikes import LookalikeTrie, canonical, lookalike_pairs
-from quillspark.llm.near_duplicates import NearDuplicateOptions, near_duplicates
+from quillspark.llm.near_duplicates import NearDuplicateOptions, _whole_runs, block_keys, near_duplicates
 
 WORDS = [a + b for a in ("ba", "ke", "li", "mo", "nu", "pa", "re", "si", "to", "vu") for b in ("n", "r", "st", "d", "lk", "m", "p", "x", "g", "f")]
 ALIKE = str.maketrans({"a": "а", "e": "е", "o": "о", "i": "і", "p": "р"})
@@ -108,7 +108,7 @@ def placed(stories):
     return stories.select("story_id", "text", source.alias("source"), split.alias("hub_split"), F.lit(1).alias("role"), F.lit(2).alias("grams"))
 
 
-@pytest.mark.parametrize("hot", [1 << 20, 1])
+@pytest.mark.parametrize("hot", [4096, 1])
 def test_cross_split(stories, integrity, truth, hot):
     role = {k: {0: "test", 1: "train", 2: "train", 3: "train", 4: "validation", 5: "train"}.get(k % 7) for k in truth[0]}
     expected = set()
@@ -184,11 +184,89 @@ def test_pairs_at_the_threshold(spark):
 
 
 def test_joint_miss_at_the_threshold():
-    options = NearDuplicateOptions()
-    below = lambda n, p, k: sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k))
-    j = options.threshold
-    blocks, sketch, equal = (1 - j**options.rows) ** options.blocks, 1 - below(64, (1 - j) / 2, options.max_sketch + 1), below(options.size, j, options.min_equal)
-    assert blocks + sketch + equal < 1e-4
+    """Both groupings of components into blocks by chance, and the distance of whole fingerprints by the binomial."""
+    import numpy as np
+
+    options, rng = NearDuplicateOptions(), np.random.default_rng(1)
+    n, missed = 20_000, 0
+    for _ in range(10):
+        other = np.where(rng.random((n, options.components)) < options.threshold, 0, rng.integers(1, 256, (n, options.components))).astype(np.uint8)
+        same = block_keys(other, options) == block_keys(np.zeros((1, options.components), np.uint8), options)
+        missed += int((same.sum(1) < options.shared).sum())
+    assert missed / (10 * n) < 2.5e-4
+    below = sum(math.comb(options.components, i) * options.threshold**i * (1 - options.threshold) ** (options.components - i) for i in range(options.min_equal))
+    assert below < 5e-6
+
+
+def sequences(text: str) -> set:
+    words = "".join(c if c.isalnum() else " " for c in text.lower()).split()
+    return {tuple(words[i : i + 3]) for i in range(len(words) - 2)}
+
+
+def test_one_other_letter_is_another_text(spark):
+    """The keys of copies, written here a second time: letters and digits in lower case, in their order."""
+    base = " ".join(WORDS[:50])
+    texts = [base + " a vest", base + " a nest", base + " A-VEST!", base + " a νest", base + " an est"]
+    plain = ["".join(c for c in t.replace("ν", "v").lower() if c.isalnum()) for t in texts]
+    expected = sorted((min(j for j, q in enumerate(plain) if q == p), i) for i, p in enumerate(plain) if plain.index(p) != i)
+    table = spark.createDataFrame(list(enumerate(texts)), "story_id long, text string")
+    assert pairs(format_copies(table)) == expected == [(0, 2), (0, 3), (1, 4)]
+    near = [(i, j) for i in range(5) for j in range(i + 1, 5) if plain[i] != plain[j]]
+    assert pairs(near_duplicates(table)) == near
+
+
+def test_same_letters_in_other_words_are_the_same_record(spark):
+    """The class of one word sequence has members with other words in the same record."""
+    base = " ".join(WORDS[:40])
+    rows = [(1, base.replace("ban ", "ban")), (2, base), (3, base + " end"), (4, "Story: x\nWords: " + base), (5, "Words: " + base + "\nStory: x"), (6, "Story x Words " + base)]
+    found = pairs(near_duplicates(spark.createDataFrame(rows, "story_id long, text string")))
+    assert (1, 2) not in found and (4, 5) not in found and (4, 6) not in found and (2, 3) in found
+    copies = pairs(format_copies(spark.createDataFrame(rows, "story_id long, text string")))
+    assert copies == [(1, 2), (4, 5), (4, 6)]
+
+
+def test_whole_runs():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    for _ in range(50):
+        keys = np.sort(np.array([rng.randrange(6) for _ in range(40)], np.int64))
+        cuts = [0, *sorted(rng.randrange(41) for _ in range(9)), 40]
+        batches = [pa.RecordBatch.from_arrays([pa.array(keys[a:b]), pa.array(np.arange(a, b))], names=["k", "v"]) for a, b in zip(cuts, cuts[1:])]
+        out = list(_whole_runs(iter(batches), 1))
+        assert np.concatenate([o[0] for o in out]).tolist() == keys.tolist() and np.concatenate([o[1] for o in out]).tolist() == list(range(40))
+        ends = [o[0][-1] for o in out]
+        assert len(set(ends)) == len(ends) and all(o[0][0] != e for o, e in zip(out[1:], ends))
+
+
+@pytest.mark.parametrize("low,high", [(8, 16), (17, 32), (33, 64), (65, 128), (129, 400)])
+def test_cross_split_recall_by_length(spark, integrity, low, high):
+    """One-edit and spread-edit pairs of each length down to a similarity of 0.6: all come out."""
+    rng, rows, expected = random.Random(low), [], set()
+    word = lambda: "w" + str(rng.randrange(10**6))
+    for k in range(120):
+        base = [word() for _ in range(rng.randint(low, high))]
+        other = base[:]
+        step = rng.choice([5, 8, 11, 12, 13, 15, 40])
+        for i in range(rng.randrange(step), len(base), step):
+            kind = rng.randrange(3)
+            if kind == 0:
+                other[i] = word()
+            elif kind == 1 and i < len(other):
+                other[i] = other[i] + " " + word()
+            else:
+                other[i] = ""
+            if step == 40:
+                break
+        a, b = " ".join(base), " ".join(" ".join(other).split())
+        x, y = sequences(a), sequences(b)
+        if min(sum(map(str.isalnum, t)) for t in (a, b)) >= 40 and x and y and len(x & y) / len(x | y) >= 0.6 and a != b:
+            expected.add((2 * k, 2 * k + 1, "test"))
+        rows += [(2 * k, a, "s", "main"), (2 * k + 1, b, "s", "dev")]
+    found = overlap_pairs(spark.createDataFrame(rows, "story_id long, text string, source string, hub_split string"), integrity)
+    got = set(map(tuple, found.collect()))
+    assert len(expected) > 20 and expected <= got and len(got) <= 120
 
 
 def test_cross_split_short_texts_and_spread_edits(spark):
