@@ -3,6 +3,7 @@ and a join with the row of each key's group that never gathers a hot group."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,13 +44,13 @@ def _count_rows(slots: int):
                 values = np.frombuffer(b"".join(column.drop_null().to_pylist()), np.int64) if pa.types.is_binary(column.type) else column.drop_null().to_numpy()
                 counts += np.bincount(slots_of(values, slots).astype(np.int64), minlength=slots)
         at = [i for i in range(0, slots, _PART) if counts[i : i + _PART].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([counts[i : i + _PART].tobytes() for i in at], pa.binary())], names=["at", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([zlib.compress(counts[i : i + _PART].tobytes(), 1) for i in at], pa.binary())], names=["at", "counts"])
 
     return rows
 
 
 def _summed(key, table):
-    out = sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())
+    out = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in table.column("counts").to_pylist())
     return pa.table({"at": pa.array([key[0].as_py()], pa.int64()), "counts": pa.array([out.tobytes()], pa.binary())})
 
 
