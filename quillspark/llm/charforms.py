@@ -17,7 +17,7 @@ LOOKALIKES = {
     "A": "АΑ", "B": "ВΒ", "C": "СϹ", "D": "Ԁ", "E": "ЕΕ", "H": "НΗҺ", "I": "ІΙ", "J": "ЈͿ", "K": "КΚ", "L": "Լ",
     "M": "МΜ", "N": "Ν", "O": "ОΟՕ", "P": "РΡ", "Q": "Ԛ", "S": "ЅՏ", "T": "ТΤ", "V": "Ѵ", "W": "Ԝ", "X": "ХΧ",
     "Y": "ҮΥ", "Z": "Ζ", "a": "аɑ", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡց", "h": "һհ", "i": "і", "j": "јϳ",
-    "l": "ӏӀ", "n": "ո", "o": "оοօ", "p": "р", "q": "ԛզ", "s": "ѕ", "u": "ս", "v": "ѵν", "w": "ԝ", "x": "х",
+    "l": "ӏ", "n": "ո", "o": "оοօ", "p": "р", "q": "ԛզ", "s": "ѕ", "u": "ս", "v": "ѵν", "w": "ԝ", "x": "х",
     "y": "уү",
 }
 # Lower-case letters that only their capital makes a look-alike; they count where case is ignored.
@@ -78,10 +78,23 @@ _PLAIN = _Memo(plain_character)
 _ODD = re.compile("[^\t\n\r -~À-ÖØ-öø-ÿ–—‘’“”]")
 
 
+#: Characters that look like both I and l.
+_BAR = re.compile("[ӀƖ]")
+
+
+def _bar(m: re.Match) -> str:
+    """I where a capital would stand (alone, before small letters at a word's beginning, beside capitals), else l."""
+    before, after = m.string[: m.start()][-1:], m.string[m.end() :][:1]
+    if before.isalpha():
+        return "I" if before.isupper() and not after.islower() else "l"
+    return "I" if not after.isalpha() or after.islower() or after.isupper() else "l"
+
+
 def one_form(text: str) -> str:
     """The one form of a text; the empty text is its own form."""
     if _ODD.search(text) is None:
         return text
+    text = _BAR.sub(_bar, text)
     return unicodedata.normalize("NFC", _ODD.sub(lambda m: _PLAIN[m.group()], text))
 
 

@@ -11,151 +11,115 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.wordhash import WordHashes, chunks
+from ..operators.bitmap import MAX_BYTES, contains, membership_bitmap
+from ..operators.skew import slot_counts
 from .charforms import one_form, word_text
 
 
 @dataclass(frozen=True)
 class LeakOptions:
     """run: consecutive words of an item that make a leak. shingle: words of a shingle; a window of `run` words is the
-    set of its shingles. block_words: words of all items in one block of the query set, the bound of what is sent to
-    the executors; more items are searched in further blocks."""
+    set of its shingles. max_filter_bytes: bound of the membership filter of the items' shingles. slots: of the table of
+    their counts. hot: text rows of a prefix token from which they are joined by several tasks."""
 
     run: int = 13
     shingle: int = 3
-    block_words: int = 2_000_000
-
-
-class ItemWindows:
-    """The windows of a block of items and the shingles in them."""
-
-    def __init__(self, items: list[tuple[int, str]], options: LeakOptions):
-        self.options = options
-        self.ids = np.array([i for i, _ in items], np.int64)
-        words = WordHashes([word_text(one_form(t)) for _, t in items])
-        self.words, self.doc = words.hashes, words.doc
-        self.gram, self.gram_at = words.grams(options.shingle)
-        self.distinct = np.unique(self.gram)
-        n = len(self.words) - options.run + 1
-        self.windows = np.flatnonzero(self.doc[:n] == self.doc[options.run - 1 :]) if n > 0 else np.zeros(0, np.int64)
-        self.first, self.last = words.first[:-1], words.first[1:]
-
-    def order_by_rarity(self, counts: np.ndarray) -> None:
-        """Keeps the necessary prefix of each window: its rarest shingle by the counts of distinct shingles (ties by
-        hash), since all shingles of the window must be in a text that contains it."""
-        per = self.options.run - self.options.shingle + 1
-        rank = np.empty(len(self.distinct), np.int64)
-        rank[np.lexsort((self.distinct, counts))] = np.arange(len(counts))
-        of = np.full(len(self.words) + per, len(rank), np.int64)
-        of[self.gram_at] = rank[np.searchsorted(self.distinct, self.gram)]
-        ranks = np.stack([of[self.windows + k] for k in range(per)], 1) if len(self.windows) else np.zeros((0, per), np.int64)
-        offset = ranks.argmin(1) if len(ranks) else np.zeros(0, np.int64)
-        at = self.windows + offset
-        token = np.zeros(len(self.words) + per, np.uint64)
-        token[self.gram_at] = self.gram
-        order = np.argsort(token[at], kind="stable")
-        self.prefix, self.window, self.offset = token[at][order], self.windows[order], offset[order]
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[self.prefix & np.uint64((1 << 20) - 1)] = True
-
-
-def _count_rows(windows, options: LeakOptions):
-    """How many texts hold each of the items' shingles."""
+    max_filter_bytes: int = MAX_BYTES
+    slots: int = 1 << 20
+    hot: int = 100_000
+
+
+def _shingles(texts: list[str], options: LeakOptions) -> Iterator[tuple[int, WordHashes, np.ndarray, np.ndarray]]:
+    """For ranges of raw texts: where the range begins, its words, and the hash of the shingle at each word with whether
+    there is one inside the text."""
+    plain = [word_text(one_form(t)) for t in texts]
+    for begin, end in chunks(plain):
+        words = WordHashes(plain[begin:end])
+        gram, where = words.grams(options.shingle)
+        at, there = np.zeros(len(words.hashes), np.uint64), np.zeros(len(words.hashes), bool)
+        at[where], there[where] = gram, True
+        yield begin, words, at, there
+
+
+def _shingle_rows(options: LeakOptions, bits=None):
+    """(text) -> packed hashes of the different shingles of each text; with bits, only those that an item may have."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = windows.value
-        count = np.zeros(len(known) + 1, np.int64)
-        maybe = np.zeros(1 << 20, bool)
-        maybe[known & np.uint64((1 << 20) - 1)] = True
         for batch in batches:
-            texts = [word_text(one_form(t)) for t in batch.column(0).to_pylist()]
-            for begin, end in chunks(texts):
-                words = WordHashes(texts[begin:end])
-                gram, where = words.grams(options.shingle)
-                some = maybe[gram & np.uint64((1 << 20) - 1)]
-                gram, doc = gram[some], words.doc[where[some]]
-                at = np.searchsorted(known, gram)
-                found = known[np.minimum(at, len(known) - 1)] == gram
-                each = np.unique(doc[found] * np.int64(len(known) + 1) + at[found])
-                count += np.bincount(each % (len(known) + 1), minlength=len(count))
-        at = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at])], names=["shingle", "n"])
+            for _, words, at, there in _shingles(batch.column(0).to_pylist(), options):
+                gram, doc = at[there], words.doc[there]
+                if bits is not None:
+                    known = contains(bits.value, gram)
+                    gram, doc = gram[known], doc[known]
+                order = np.lexsort((gram, doc))
+                gram, doc = gram[order], doc[order]
+                if len(gram):
+                    new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])])
+                    yield pa.RecordBatch.from_arrays([pa.array([gram[new].tobytes()], pa.binary())], names=["shingles"])
 
     return rows
 
 
-def _leak_rows(shared, options: LeakOptions):
-    """(table, id, text) -> (record_table, record_id, item_id) of items with a whole window in the text."""
+def _window_rows(options: LeakOptions, order, names: list[str]):
+    """(text, *names) -> (token, place, window, parts, *names): a row for each window of options.run words all of whose
+    shingles an item may have. token: its prefix, the rarest shingle (ties by hash, then the first); place: where in the
+    window it stands; window: the words; parts: into how many parts the rows of the token are cut."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items: ItemWindows = shared.value
+        bits, counts = order.value
+        wide = options.run - options.shingle + 1
         for batch in batches:
-            texts = [word_text(one_form(t)) for t in batch.column(2).to_pylist()]
-            hit_doc, hit_item = [], []
-            for begin, end in chunks(texts):
-                words = WordHashes(texts[begin:end])
-                gram, where = words.grams(options.shingle)
-                some = items.maybe[gram & np.uint64((1 << 20) - 1)]
-                gram, where = gram[some], where[some]
-                lo, hi = np.searchsorted(items.prefix, gram, "left"), np.searchsorted(items.prefix, gram, "right")
-                n = hi - lo
-                # one candidate for each window whose prefix shingle this is
-                where = np.repeat(where, n)
-                cand = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-                start = where - items.offset[cand]
-                doc = words.doc[where]
-                inside = (start >= words.first[doc]) & (start + options.run <= words.first[doc + 1])
-                start, cand, doc = start[inside], cand[inside], doc[inside]
-                for part in range(0, len(start), 100_000):
-                    s, w, d = (x[part : part + 100_000] for x in (start, items.window[cand], doc))
-                    ok = np.ones(len(s), bool)
-                    for k in range(options.run):
-                        ok &= words.hashes[s + k] == items.words[w + k]
-                    hit_doc.append(begin + d[ok])
-                    hit_item.append(items.ids[items.doc[w[ok]]])
-            if hit_doc and sum(map(len, hit_doc)):
-                pairs = np.unique(np.stack([np.concatenate(hit_doc), np.concatenate(hit_item)], 1), axis=0)
-                at = pa.array(pairs[:, 0])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(pairs[:, 1])], names=["record_table", "record_id", "item_id"])
+            for begin, words, gram, there in _shingles(batch.column(0).to_pylist(), options):
+                n = len(gram) - options.run + 1
+                if n <= 0:
+                    continue
+                known = np.concatenate([[0], np.cumsum(there & contains(bits, gram))])
+                starts = np.flatnonzero((known[wide : wide + n] - known[:n] == wide) & (words.doc[:n] == words.doc[options.run - 1 :]))
+                for part in range(0, len(starts), 50_000):
+                    start = starts[part : part + 50_000]
+                    inside = start[:, None] + np.arange(wide)
+                    often = np.minimum(counts.of(gram[inside.ravel()]), (1 << 20) - 1).astype(np.uint64)
+                    rank = ((often << np.uint64(44)) | (gram[inside.ravel()] >> np.uint64(20))).reshape(inside.shape)
+                    place = rank.argmin(1)
+                    token = gram[start + place]
+                    raw, a, b = words.buffer.tobytes(), words.start, words.end
+                    text = [b" ".join(raw[a[k] : b[k]] for k in range(s, s + options.run)).decode("utf-8", "surrogatepass") for s in start.tolist()]
+                    at = pa.array(begin + words.doc[start])
+                    columns = [pa.array(token.view(np.int64)), pa.array(place.astype(np.int32)), pa.array(text, pa.string()), pa.array(counts.parts(token, options.hot).astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays([*columns, *(batch.column(1 + k).take(at) for k in range(len(names)))], names=["token", "place", "window", "parts", *names])
 
     return rows
 
 
+_WINDOW = "token long, place int, window string, parts int"
+
+
 def leaked_items(texts: DataFrame, items: DataFrame, options: LeakOptions = LeakOptions()) -> DataFrame:
     """(record_table, record_id, item_id): each text of texts (record_table, record_id, text) with each item of items
     (item_id, text) of which it holds at least options.run consecutive words.
 
-    The items are the query set: it is searched against all rows in blocks of bounded size. The first pass counts, over
-    all texts, how many hold each shingle of the items; the second looks up the rarest shingle of each item window,
-    which a text with the window must hold, checks that the window fits into the text at that place, and verifies all
-    its words. Nothing but counts and results is shuffled.
+    Two passes over the texts, however many items there are. The first counts how many texts hold each shingle of the
+    items. In the second, texts and items send the prefix of their windows, the rarest shingle: all shingles of a window
+    must be in a text that contains it, so of a text only windows remain all of whose shingles some item may have, as a
+    filter of bounded size tells; texts of fewer words have none. Prefix tokens join with the position of the token in the
+    window, and all words of the window decide. The text rows of a hot token are cut into parts, to each of which its
+    item rows go, so no task gets all of them.
 
     Null ids and texts and items with fewer than options.run words are no case; a text and item count once. Rows with
     the same record_table and record_id count as one record. Other columns are ignored. Empty tables give no rows.
     """
-    spark = texts.sparkSession
-    rows = texts.where("text is not null and record_id is not null").select("record_table", F.col("record_id").cast("long").alias("record_id"), "text")
-    usable = items.where("text is not null and item_id is not null").select(F.col("item_id").cast("long"), "text")
-    total = usable.agg(F.sum(F.length("text") / 4)).first()[0] or 0
-    blocks = int(total // options.block_words) + 1
-    schema = "record_table string, record_id long, item_id long"
-    out = []
-    for block in range(blocks):
-        some = usable.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else usable
-        windows = ItemWindows(sorted((r[0], r[1]) for r in some.toLocalIterator()), options)
-        if not len(windows.windows):
-            continue
-        counts = np.zeros(len(windows.distinct), np.int64)
-        known = spark.sparkContext.broadcast(windows.distinct)
-        for r in rows.select("text").mapInArrow(_count_rows(known, options), "shingle long, n long").groupBy("shingle").agg(F.sum("n")).toLocalIterator():
-            counts[r[0]] = r[1]
-        windows.order_by_rarity(counts)
-        out.append(rows.mapInArrow(_leak_rows(spark.sparkContext.broadcast(windows), options), schema))
-    if not out:
-        return spark.createDataFrame([], schema)
-    found = out[0]
-    for more in out[1:]:
-        found = found.union(more)
-    return found.distinct()
+    share = texts.sparkSession.sparkContext.broadcast
+    rows = texts.where("text is not null and record_id is not null").select("text", "record_table", F.col("record_id").cast("long").alias("record_id"))
+    usable = items.where("text is not null and item_id is not null").select("text", F.col("item_id").cast("long").alias("item_id"))
+    expected = usable.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("long")).first()[0] // 4
+    bits = membership_bitmap(usable.select("text").mapInArrow(_shingle_rows(options), "shingles binary"), expected, options.max_filter_bytes)
+    counts = slot_counts(rows.select("text").mapInArrow(_shingle_rows(options, share(bits)), "shingles binary"), options.slots)
+    order = share((bits, counts))
+    passages = usable.mapInArrow(_window_rows(options, order, ["item_id"]), f"{_WINDOW}, item_id long").distinct()
+    passages = passages.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    found = rows.mapInArrow(_window_rows(options, order, ["record_table", "record_id"]), f"{_WINDOW}, record_table string, record_id long")
+    found = found.withColumn("part", F.pmod(F.xxhash64("record_table", "record_id"), F.col("parts")).cast("int")).drop("parts")
+    return found.join(passages, ["token", "place", "window", "part"]).select("record_table", "record_id", "item_id").distinct()
 
 
 def leak_report(leaks: DataFrame, items: DataFrame) -> DataFrame:

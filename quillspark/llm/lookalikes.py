@@ -12,7 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import join_groups
 from .charforms import count_letters_and_digits, is_ignorable, is_odd, letters_and_digits, one_form, plain_character
+from .classes import expand
 
 #: A token: letters, digits, combining marks and the characters between them that show nothing.
 _TOKEN = re.compile("(?:[^\\W_]|[̀-ͯ­͏؜᠎​-‏‪-‮⁠-⁤︀-️﻿])+")
@@ -96,11 +98,21 @@ def canonical(text: str, trie: LookalikeTrie, memo: dict[str, str]) -> str:
     return one_form(_TOKEN.sub(spelled, text))
 
 
+def outline(token: str) -> str:
+    """Equal for a token and all words that it may be read as: the one form without case, i and l as one."""
+    return one_form(token).lower().translate(_OUTLINE)
+
+
+#: The characters of SEVERAL_READINGS with all their readings.
+_OUTLINE = str.maketrans({"i": "l", **{ch: "l" for ch in SEVERAL_READINGS}})
+
+
 def _vocabulary_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     count: Counter[str] = Counter()
 
     def rows() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.string()), pa.array(count.values(), pa.int64())], names=["token", "n"])
+        odd = [is_odd(t) for t in count]
+        return pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.string()), pa.array(map(outline, count), pa.string()), pa.array(odd, pa.bool_()), pa.array(count.values(), pa.int64())], names=["token", "outline", "odd", "n"])
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
@@ -112,10 +124,11 @@ def _vocabulary_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def vocabulary(docs: DataFrame, text_col: str, size: int = 50_000) -> DataFrame:
-    """(token, n): the `size` most frequent tokens of all texts that are written in ordinary characters; ties by token."""
-    counts = docs.where(F.col(text_col).isNotNull()).select(text_col).mapInArrow(_vocabulary_rows, "token string, n long")
-    usual = F.col("token").rlike("^[0-9A-Za-zÀ-ÖØ-öø-ÿ]+$")
-    return counts.where(usual).groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(size)
+    """(token, n): the words in ordinary characters that some token of the texts with other characters may be read as,
+    counted over all texts; the `size` most frequent of them, ties by token."""
+    counts = docs.where(F.col(text_col).isNotNull()).select(text_col).mapInArrow(_vocabulary_rows, "token string, outline string, odd boolean, n long").groupBy("token", "outline", "odd").agg(F.sum("n").alias("n")).persist()
+    usual = counts.where(~F.col("odd") & F.col("token").rlike("^[0-9A-Za-zÀ-ÖØ-öø-ÿ]+$"))
+    return usual.join(counts.where("odd").select("outline").distinct(), "outline", "left_semi").select("token", "n").orderBy(F.desc("n"), "token").limit(size)
 
 
 def _digest(text: str) -> bytes:
@@ -152,30 +165,28 @@ def _form_rows(words, min_letters: int):
 
 
 def form_table(docs: DataFrame, id_col: str, text_col: str, min_letters: int = 40, vocabulary_size: int = 50_000) -> DataFrame:
-    """(id, form, variant): digests of the one form and of the text itself. The vocabulary, counted over all texts, is
-    sent to the executors; its size is bounded by vocabulary_size."""
+    """(id, form, variant): digests of the one form and of the text itself. The vocabulary, counted over all texts, holds
+    only words that a token with other characters may stand for. It is sent to the executors; its size is bounded by
+    vocabulary_size, and tokens of rarer words are read by the table and their context."""
     words = docs.sparkSession.sparkContext.broadcast({r["token"]: r["n"] for r in vocabulary(docs, text_col, vocabulary_size).collect()})
     rows = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), text_col)
     return rows.mapInArrow(_form_rows(words, min_letters), "id long, form binary, variant binary")
 
 
-def lookalike_pairs(docs: DataFrame, id_col: str = "story_id", text_col: str = "text", min_letters: int = 40, vocabulary_size: int = 50_000) -> DataFrame:
+def lookalike_pairs(docs: DataFrame, id_col: str = "story_id", text_col: str = "text", min_letters: int = 40, vocabulary_size: int = 50_000, hot: int = 4096) -> DataFrame:
     """(id_lo, id_hi) of texts that are different strings with the same one form.
 
     Variants (distinct strings) of a form are paired first, then each pair of variants with its rows, so copies of one
-    string never meet each other, however many there are. Null ids, null texts and texts with fewer than min_letters
-    letters and digits are no case. Other columns are ignored. An empty table gives no rows.
+    string never meet each other, however many there are. A form with more than `hot` variants and a variant with more
+    than `hot` rows are cut into parts, each pair of which is joined on a key of its own. Null ids, null texts and texts
+    with fewer than min_letters letters and digits are no case. Other columns are ignored. An empty table gives no rows.
     """
     table = form_table(docs, id_col, text_col, min_letters, vocabulary_size).distinct().persist()
-    variants = table.select("form", "variant").distinct()
-    several = variants.groupBy("form").count().where("count > 1").select("form")
-    variants = variants.join(several, "form", "left_semi")
-    pairs = variants.alias("a").join(variants.alias("b"), "form").where("a.variant < b.variant").select("form", F.col("a.variant").alias("va"), F.col("b.variant").alias("vb"))
-    rows = table.join(several, "form", "left_semi")
-    return (
-        pairs.join(rows.select("form", F.col("variant").alias("va"), F.col("id").alias("x")), ["form", "va"])
-        .join(rows.select("form", F.col("variant").alias("vb"), F.col("id").alias("y")), ["form", "vb"])
-        .where("x <> y")
-        .select(F.least("x", "y").alias("id_lo"), F.greatest("x", "y").alias("id_hi"))
-        .distinct()
-    )
+    total = table.count()
+    variants = table.groupBy("form", "variant").agg(F.count("*").alias("rows"))
+    forms = variants.groupBy("form").agg(F.count("*").alias("n")).where("n > 1")
+    several = join_groups(variants, forms, ["form"], "n", total).persist()
+    members = several.select(F.col("form").alias("rep"), "n", F.col("variant").alias("id"))
+    pairs = expand(forms.select(F.col("form").alias("lo"), F.col("form").alias("hi")), members, members, hot).where("x < y").select(F.col("x").alias("lo"), F.col("y").alias("hi"))
+    rows = join_groups(table.select("variant", "id"), several.select("variant", "rows"), ["variant"], "rows", total).select(F.col("variant").alias("rep"), F.col("rows").alias("n"), "id").persist()
+    return expand(pairs, rows, rows, hot).where("x <> y").select(F.least("x", "y").alias("id_lo"), F.greatest("x", "y").alias("id_hi")).distinct()

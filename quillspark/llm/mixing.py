@@ -13,14 +13,17 @@ from .encode import VOCABULARY, with_token_counts
 @dataclass(frozen=True)
 class MixOptions:
     """seed: of the sampling keys. total_tokens: planned size of the mixture; None takes the largest at which each
-    source that has documents can give its share within its repeats. vocabulary: the tokenizer's file. bins: bins of
-    sampling keys of a source; only the bin in which a budget ends is sorted. broadcast_rows: more targets than this
+    source that has documents can give its share within its repeats. vocabulary: the tokenizer's file. bins: bins of the
+    sampling keys for each unit of their logarithm; whatever the weights, a bin has at most 1 / (2.7 bins) of a source in the
+    mean, and only the one in which a budget ends is sorted. near: part of what is left of a budget by which the last
+    document may miss it. broadcast_rows: more targets than this
     are joined with a shuffle."""
 
     seed: int = 17
     total_tokens: int | None = None
     vocabulary: str = VOCABULARY
-    bins: int = 4096
+    bins: int = 1024
+    near: float = 0.25
     broadcast_rows: int = 10_000
 
 
@@ -40,8 +43,8 @@ def mixture(docs: DataFrame, targets: DataFrame, options: MixOptions = MixOption
 
     Each source gets target_share of the planned total in tokens of the vocabulary: complete epochs first, then a
     sample of the source without replacement, in the order of -ln(u) / weight with u a hash of doc_id and the seed
-    (Efraimidis and Spirakis), as far as the sum stays within the budget, and then the one document whose size comes
-    nearest to what is left, if it brings the sum nearer. No document is used more than max_repeats times. Sums over bins of keys place the end of each budget; only that bin is sorted, so a source
+    (Efraimidis and Spirakis), as far as the sum stays within the budget; last comes the first document in that order whose
+    size is within options.near of what is left, if there is one. No document is used more than max_repeats times. Sums over bins of keys place the end of each budget; only that bin is sorted, so a source
     with a third of all rows is never sorted or gathered in one task.
 
     Documents of sources that are not listed, of a null source, and without tokens (null or empty text) are not used. A
@@ -55,7 +58,7 @@ def mixture(docs: DataFrame, targets: DataFrame, options: MixOptions = MixOption
     listed = docs.select("doc_id", "source", "text").join(hint(goal.select("source")), "source")
     uniform = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(options.seed)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     keyed = listed.where("length(text) > 0").select("doc_id", "source", (-F.log(uniform) / quality(F.col("text"))).alias("key"), F.xxhash64("text").alias("tie"), "text")
-    sized = with_token_counts(keyed, "text", options.vocabulary).withColumn("bin", F.least(F.lit(options.bins - 1), F.floor(options.bins * (1 - F.exp(-F.col("key"))))).cast("int")).persist()
+    sized = with_token_counts(keyed, "text", options.vocabulary).withColumn("bin", F.floor(options.bins * F.log(F.greatest("key", F.lit(1e-300)))).cast("int")).persist()
     bins = sized.groupBy("source", "bin").agg(F.sum("tokens").alias("tokens")).persist()
     own = bins.groupBy("source").agg(F.sum("tokens").alias("all_tokens")).where("all_tokens > 0").join(goal, "source")
     if options.total_tokens is None:
@@ -73,7 +76,7 @@ def mixture(docs: DataFrame, targets: DataFrame, options: MixOptions = MixOption
         .join(plan.select("source", "epochs", "rest"), "source")
         .groupBy("source", "epochs", "rest")
         .agg(F.max(F.when(F.col("before") < F.col("rest"), F.struct("bin", "before"))).alias("last"))
-        .select("source", "epochs", "rest", F.coalesce("last.bin", F.lit(-1)).alias("last_bin"), F.coalesce("last.before", F.lit(0)).alias("before"))
+        .select("source", "epochs", "rest", F.coalesce("last.bin", F.lit(-(1 << 31))).alias("last_bin"), F.coalesce("last.before", F.lit(0)).alias("before"))
     )
     ends = _gathered(ends) if small else ends
     rows = sized.join(hint(ends), "source")
@@ -88,7 +91,7 @@ def mixture(docs: DataFrame, targets: DataFrame, options: MixOptions = MixOption
     chosen = chosen.persist()
     left = chosen.groupBy("source").agg((F.max("rest") - F.max("sum")).alias("left"))
     off = F.abs(F.col("tokens") - F.col("left"))
-    fill = chosen.where("not taken").join(hint(left), "source").where(off < F.col("left")).groupBy("source").agg(F.min(F.struct(off.alias("off"), "key", "doc_id", "tie")).alias("fill")).select(F.col("source").alias("_source"), "fill")
+    fill = chosen.where("not taken").join(hint(left), "source").where(off <= options.near * F.col("left")).groupBy("source").agg(F.min(F.struct("key", "doc_id", "tie")).alias("fill")).select(F.col("source").alias("_source"), "fill")
     fill = _gathered(fill) if small else fill
     extra = F.coalesce((F.col("key") == F.col("fill.key")) & F.col("doc_id").eqNullSafe(F.col("fill.doc_id")) & (F.col("tie") == F.col("fill.tie")), F.lit(False))
     uses = F.col("epochs") + (F.col("taken") | extra).cast("int")

@@ -51,12 +51,12 @@ def leaks():
     return texts, items
 
 
-@pytest.mark.parametrize("block_words", [2_000_000, 60])
-def test_leaks(spark, leaks, block_words):
+@pytest.mark.parametrize("options", [LeakOptions(), LeakOptions(hot=1, slots=1 << 13)])
+def test_leaks(spark, leaks, options):
     texts, items = leaks
     table = spark.createDataFrame([(*t, 1) for t in texts], "record_table string, record_id long, text string, item_id int").repartition(4)
     queries = spark.createDataFrame([(*i, "t", "r") for i in items], "item_id long, text string, task string, record_id string")
-    found = leaked_items(table, queries, LeakOptions(block_words=block_words))
+    found = leaked_items(table, queries, options)
     assert sorted(map(tuple, found.collect())) == brute_leaks(texts, items)
     assert leak_report(found, queries).agg(F.sum(F.col("stories") + F.col("records"))).first()[0] == found.count()
 
@@ -184,9 +184,10 @@ def pages():
 
 def test_spam(spark, pages):
     table = spark.createDataFrame([(*p, 1, 2) for p in pages], "doc_id long, text string, lang string, words int, page int").repartition(6)
-    assert sorted(r["doc_id"] for r in spam_pages(table).collect()) == [1000, 1001, 1002, 1003]
+    # 3000, of a language without a model, by its curve
+    assert sorted(r["doc_id"] for r in spam_pages(table).collect()) == [1000, 1001, 1002, 1003, 3000]
     twice = table.union(table)
-    assert sorted(r["doc_id"] for r in spam_pages(twice).collect()) == [1000, 1001, 1002, 1003]
+    assert sorted(r["doc_id"] for r in spam_pages(twice).collect()) == [1000, 1001, 1002, 1003, 3000]
     assert spam_pages(table.limit(0)).count() == 0
 
 
@@ -198,6 +199,20 @@ def test_spam_with_many_copies(spark):
     assert sorted(r["doc_id"] for r in spam_pages(table).collect()) == [k for k, _, _ in copies]
 
 
+def test_spam_of_many_languages(spark):
+    """Each of fifty languages has a model; phrases that hold the words of prose are found by their curve."""
+    rows = []
+    for k in range(50):
+        rng = random.Random(k)
+        rows += [(100 * k + n, prose(rng, 100).replace("word", f"l{k}w").replace("the", f"l{k}the"), f"l{k}") for n in range(8)]
+        rows.append((100 * k + 50, f"tag{k} shoe{k} sale{k} " * 30, f"l{k}"))
+    rng = random.Random(99)
+    rows += [(9000 + n, prose(rng, 200), "en") for n in range(60)]
+    rows += [(9900, "the best shoes for the man and the best shoes for the woman and " * 15, "en")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in spam_pages(table).collect()) == [100 * k + 50 for k in range(50)] + [9900]
+
+
 def test_curves(spark):
     text = " ".join(["a"] * 16 + ["b"] * 8 + ["c"] * 4 + ["d"] * 2)
     table = spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string")
