@@ -11,22 +11,51 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from ..functions.stats import linear_percentile
 
 
+def _renumbered(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Numbers of pairs, equal for equal pairs only."""
+    return np.unique(first * (int(second.max(initial=0)) + 1) + second, return_inverse=True)[1]
+
+
 def longest_span(a: str, b: str) -> tuple[int, str]:
-    """Length and text of the longest run of equal words; the earliest in a of several, then in b."""
+    """Length and text of the longest run of equal words; the earliest in a of several, then in b.
+
+    Runs of equal length are numbered by their words, those of twice the length from pairs of numbers. A run that both
+    texts share has shared parts, so the length is found bit by bit, from the largest power of two down."""
     left, right = a.split(), b.split()
     if not left or not right:
         return 0, ""
     number: dict[str, int] = {}
-    x = np.array([number.setdefault(w, len(number)) for w in left])
-    y = np.array([number.setdefault(w, len(number)) for w in right])
-    best, end = 0, 0
-    runs = np.zeros(len(y) + 1, np.int64)
-    for i in range(len(x)):
-        runs[1:] = np.where(y == x[i], runs[:-1] + 1, 0)
-        top = int(runs.max())
-        if top > best:
-            best, end = top, i + 1
-    return best, " ".join(left[end - best : end])
+    # 0 is no word: no run across the end of a is in b
+    whole = np.array([number.setdefault(w, len(number) + 1) for w in left] + [0] + [number.setdefault(w, len(number) + 1) for w in right], np.int64)
+    n = len(left)
+
+    def shared(runs: np.ndarray, length: int) -> np.ndarray:
+        """Where in a runs begin that stand in b too."""
+        return np.flatnonzero(np.isin(runs[: max(0, n - length + 1)], runs[n + 1 :]))
+
+    powers = [whole]
+    at = shared(whole, 1)
+    if not len(at):
+        return 0, ""
+    while 2 ** len(powers) <= min(n, len(right)):
+        half = 2 ** (len(powers) - 1)
+        runs = _renumbered(powers[-1][:-half], powers[-1][half:])
+        found = shared(runs, 2 * half)
+        if not len(found):
+            break
+        powers.append(runs)
+        at = found
+    length, runs = 2 ** (len(powers) - 1), powers[-1]
+    for k in range(len(powers) - 2, -1, -1):
+        step = 2**k
+        size = len(whole) - length - step + 1
+        if length + step > min(n, len(right)) or size <= 0:
+            continue
+        longer = _renumbered(runs[:size], powers[k][length : length + size])
+        found = shared(longer, length + step)
+        if len(found):
+            at, runs, length = found, longer, length + step
+    return length, " ".join(left[at[0] : at[0] + length])
 
 
 @F.arrow_udf(StructType([StructField("words", IntegerType()), StructField("span", StringType())]))

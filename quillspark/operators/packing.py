@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
+
+
+_BEFORE = (Window.unboundedPreceding, -1)
+
 
 def _slices(rows: DataFrame) -> int:
     """Ranges of a two-level prefix sum: a task each, and few enough to broadcast their sums."""
@@ -13,16 +18,17 @@ def _slices(rows: DataFrame) -> int:
 
 def token_offsets(docs: DataFrame, id_col: str = "id", tokens_col: str = "tokens") -> DataFrame:
     """docs with start, the place of each document in the stream of all documents by id, each followed by one token
-    that ends it. A prefix sum in two levels: within ranges of ids, and over the ranges' sums, a row for each range."""
-    slices = _slices(docs)
-    limits = docs.agg(F.min(id_col).alias("lo"), F.max(id_col).alias("hi"))
-    part = F.least(F.lit(slices - 1), F.floor((F.col(id_col) - F.col("lo")) / ((F.col("hi") - F.col("lo") + 1) / F.lit(float(slices)))).cast("int"))
-    rows = docs.crossJoin(F.broadcast(limits)).withColumn("_part", part).drop("lo", "hi")
-    length = F.size(tokens_col) + 1
-    sums = rows.groupBy("_part").agg(F.sum(length.cast("long")).alias("_sum"))
-    base = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_base")
-    inside = F.coalesce(F.sum(length.cast("long")).over(Window.partitionBy("_part").orderBy(id_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("_inside", inside).join(F.broadcast(base), "_part").withColumn("start", F.col("_base") + F.col("_inside")).drop("_part", "_inside", "_base")
+    that ends it; ids are unique. A prefix sum in two levels over ids and lengths alone: within ranges of about equally
+    many documents, whatever their ids, and over the ranges' sums. Token arrays only meet their offsets, by id."""
+    lengths = docs.select(F.col(id_col), (F.size(tokens_col) + 1).cast("long").alias("_length")).repartitionByRange(id_col)
+    # the ranges are a matter of how the rows were shuffled, so they are written down
+    rows = checkpoint(lengths.withColumn("_part", F.spark_partition_id()))
+    sums = rows.groupBy("_part").agg(F.sum("_length").alias("_sum"))
+    base = sums.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(*_BEFORE)), F.lit(0)).alias("_base"))
+    inside = F.coalesce(F.sum("_length").over(Window.partitionBy("_part").orderBy(id_col).rowsBetween(*_BEFORE)), F.lit(0))
+    # a row for each task of the shuffle above
+    offsets = rows.withColumn("_inside", inside).join(F.broadcast(base), "_part").select(id_col, (F.col("_base") + F.col("_inside")).alias("start"))
+    return docs.join(offsets, id_col)
 
 
 def pack_blocks(docs: DataFrame, block_size: int = 512, eos: int = 0, id_col: str = "id", tokens_col: str = "tokens") -> DataFrame:
@@ -54,19 +60,14 @@ def packing_stats(docs: DataFrame, block_size: int = 512, text_col: str = "text"
     return packed.withColumn("retained_fraction", F.round(share, 9))
 
 
-def validate_packing(stats: dict) -> None:
-    """Raises ValueError if the counts of a packed split contradict each other."""
-    s = stats
-    checks = {
-        "one eos for each example": s["eos_tokens"] == s["examples"],
-        "stream = text + eos": s["stream_tokens"] == s["text_tokens"] + s["eos_tokens"],
-        "stream = packed + discarded": s["stream_tokens"] == s["packed_tokens"] + s["discarded_tokens"],
-        "packed = sequences x block": s["packed_tokens"] == s["sequences"] * s["block_size"],
-        "discarded < block": 0 <= s["discarded_tokens"] < s["block_size"],
-    }
-    wrong = [name for name, ok in checks.items() if not ok]
-    if wrong:
-        raise ValueError(f"packing accounting is wrong: {', '.join(wrong)}")
+def balanced(stats: DataFrame) -> DataFrame:
+    """The rows of packing_stats; computing one whose counts contradict each other fails. Every token of the stream is a
+    document's or ends one, and is in a full block or in the rest, which is smaller than a block."""
+    c = F.col
+    stream = c("examples") + c("text_tokens")
+    off = F.abs(c("eos_tokens") - c("examples")) + F.abs(c("stream_tokens") - stream) + F.abs(c("packed_tokens") - c("sequences") * c("block_size")) + F.abs(stream - c("sequences") * c("block_size") - c("discarded_tokens"))
+    right = (off == 0) & c("discarded_tokens").between(0, c("block_size") - 1)
+    return stats.withColumn("sequences", F.when(right, c("sequences")).otherwise(F.raise_error(F.concat(F.lit("packing counts contradict each other: "), F.to_json(F.struct("*")))).cast("long")))
 
 
 def stream_tokens(blocks: DataFrame, block_size: int) -> DataFrame:
@@ -91,8 +92,11 @@ def split_at_eos(blocks: DataFrame, block_size: int, eos: int = 0) -> DataFrame:
     base = part.groupBy("_part").agg(F.sum("_ends").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_base")
     inside = F.coalesce(F.sum("_ends").over(Window.partitionBy("_part").orderBy("block_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = part.withColumn("_inside", inside).join(F.broadcast(base), "_part").withColumn("_before", F.col("_base") + F.col("_inside"))
-    pieces = placed.select("block_id", "_before", F.posexplode(F.split(F.concat_ws(",", F.transform("tokens", lambda t: F.when(t == eos, F.lit("|")).otherwise(t.cast("string")))), r",?\|,?", -1)).alias("k", "piece"), F.col("_ends"))
+    # the places of ends in a block, with one before its first and one after its last token, bound its pieces
+    places = F.filter(F.sequence(F.lit(1), F.size("tokens")), lambda i: F.element_at("tokens", i) == eos)
+    bounded = placed.withColumn("_at", F.concat(F.array(F.lit(0)), places, F.array(F.size("tokens") + 1)))
+    cut = F.transform(F.sequence(F.lit(1), F.size("_at") - 1), lambda k: F.slice("tokens", F.element_at("_at", k) + 1, F.element_at("_at", k + 1) - F.element_at("_at", k) - 1))
+    pieces = bounded.select("block_id", "_before", "_ends", F.posexplode(cut).alias("k", "piece"))
     docs = pieces.select((F.col("_before") + F.col("k")).alias("document"), "block_id", "piece", (F.col("k") < F.col("_ends")).alias("ended"))
     joined = docs.groupBy("document").agg(F.array_sort(F.collect_list(F.struct("block_id", "piece"))).alias("ps"), F.bool_or("ended").alias("ended"))
-    text = F.concat_ws(",", F.filter(F.transform("ps", lambda p: p["piece"]), lambda x: x != ""))
-    return joined.where("ended").select("document", text.alias("t")).where("t <> ''").select("document", F.transform(F.split("t", ","), lambda x: x.cast("int")).alias("tokens"))
+    return joined.where("ended").select("document", F.flatten(F.transform("ps", lambda p: p["piece"])).alias("tokens")).where(F.size("tokens") > 0)

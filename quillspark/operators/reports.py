@@ -56,12 +56,34 @@ def hardware_slug(name: Column) -> Column:
     return slug(name)
 
 
-# Words that a short hardware name leaves out.
-HARDWARE_NOISE = r"(?i)\b(nvidia|geforce|laptop|gpu|intel|core|amd|with|graphics|cpu)\b|\((r|tm)\)"
+# Parts that a short hardware name leaves out.
+HARDWARE_NOISE = ("NVIDIA ", "GeForce ", "(R)", "(TM)", "11th Gen ", "Intel ", "Core ")
 
 
 def short_hardware(name: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(name, HARDWARE_NOISE, " "), r"\s+", " "))
+    """A hardware name for a chart's axis: without HARDWARE_NOISE, of a processor in brackets only what stands before its
+    clock rate or further details, single blanks."""
+    plain = F.regexp_replace(name, "|".join(rf"\Q{part}\E" for part in HARDWARE_NOISE), "")
+    inside = F.trim(F.regexp_extract(plain, r"^CPU \(([^,@]*)", 1))
+    return F.trim(F.regexp_replace(F.when(plain.startswith("CPU ("), F.concat(F.lit("CPU "), inside)).otherwise(plain), r"\s+", " "))
+
+
+def write_rating_sheet(generations: DataFrame, path: str) -> None:
+    """rating_sheet as CSV files with a header in a folder; quotes are doubled, so texts may hold any character."""
+    rating_sheet(generations).write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+
+
+def generation_rates(rows: DataFrame, new_tokens: str, first: str, total: str) -> DataFrame:
+    """rows with decode_per_second, of the tokens after the first in the time after the first, and end_to_end_per_second."""
+    after = F.greatest(F.col(total) - F.col(first), F.lit(1e-9))
+    return rows.withColumn("decode_per_second", F.round((F.col(new_tokens) - 1) / after, 6)).withColumn("end_to_end_per_second", F.round(F.col(new_tokens) / F.nullif(F.col(total), F.lit(0.0)), 6))
+
+
+def speed_ratios(rows: DataFrame, by: list[str], name: str, value: str, base: str) -> DataFrame:
+    """(by, name, median, ratio): the median of each name in its group and its ratio to that of `base` in the same group."""
+    middle = rows.where(F.col(value).isNotNull()).groupBy(*by, name).agg(F.percentile(value, F.lit(0.5)).alias("median"))
+    other = middle.where(F.col(name) == base).select(*by, F.nullif(F.col("median"), F.lit(0.0)).alias("base"))
+    return middle.join(other, by, "left").select(*by, name, F.round("median", 6).alias("median"), F.round(F.col("median") / F.col("base"), 6).alias("ratio"))
 
 
 def most_per_group(rows: DataFrame, by: list[str], value: str) -> DataFrame:

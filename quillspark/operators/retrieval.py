@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .skew import join_groups
+
 
 def long_words(text: Column) -> Column:
     """Words of at least two characters, in lower case."""
@@ -27,25 +29,49 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def inverse_frequencies(counts: DataFrame, id_col: str, documents: DataFrame) -> DataFrame:
-    """(term, idf) with idf = ln((1 + n) / (1 + df)) + 1; n documents, those without terms too."""
+    """(term, df, idf) with idf = ln((1 + n) / (1 + df)) + 1; n documents, those without terms too."""
     n = documents.agg(F.count("*").alias("n"))
-    return counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    return counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+def sampled_frequencies(counts: DataFrame, id_col: str, documents: DataFrame, sample: int, seed: int = 0) -> DataFrame:
+    """inverse_frequencies of the `sample` documents whose hashes of id and seed come first (all, if there are fewer):
+    terms of other documents only have no row, so tfidf leaves them out."""
+    order = F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")))
+    some = documents.select(id_col).orderBy(order, id_col).limit(sample)
+    return inverse_frequencies(counts.join(some, id_col, "left_semi"), id_col, some)
+
+
+def _raw(counts: DataFrame, idf: DataFrame, own: bool) -> DataFrame:
+    """counts with w = (1 + ln tf) * idf. own: idf was made from these counts, so df is the number of a term's rows, and the
+    rows of a term of most documents can be kept from meeting in one task."""
+    rows = join_groups(counts, idf, ["term"], "df", counts.count()) if own else counts.join(idf, "term")
+    return rows.withColumn("w", (1 + F.log("tf")) * F.col("idf"))
 
 
-def tfidf(counts: DataFrame, idf: DataFrame, id_col: str) -> DataFrame:
+def tfidf(counts: DataFrame, idf: DataFrame, id_col: str, own: bool = False) -> DataFrame:
     """(id_col, term, weight): (1 + ln tf) * idf, each document of unit length; terms without idf are left out."""
-    raw = counts.join(idf, "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
-    return raw.select(id_col, "term", (F.col("w") / norm).alias("weight"))
+    return _raw(counts, idf, own).select(id_col, "term", (F.col("w") / norm).alias("weight"))
 
 
-def top_matches(queries: DataFrame, corpus: DataFrame, query_id: str, corpus_id: str, k: int = 1) -> DataFrame:
+def top_matches(queries: DataFrame, counts: DataFrame, idf: DataFrame, query_id: str, corpus_id: str, k: int = 1, most: int = 1_000_000, own: bool = True) -> DataFrame:
     """(query_id, corpus_id, similarity): the k most similar documents of each query by cosine; of equal ones (to nine
-    digits) the larger id first. The inverted index joins on terms of queries only."""
-    q, c = queries.withColumnRenamed("weight", "qw"), corpus.withColumnRenamed("weight", "cw")
-    scores = q.join(c, "term").groupBy(query_id, corpus_id).agg(F.round(F.sum(F.col("qw") * F.col("cw")), 9).alias("similarity"))
+    digits) the larger id first. queries: as tfidf gives them. counts and idf: of the documents;
+    own: see _raw.
+
+    The queries' terms, if they have at most `most` rows, are broadcast, one row with all queries for each; more are
+    joined with a shuffle. Documents are shuffled once, by their id, with their length and only the terms that a query
+    has; each task keeps k documents of each query."""
+    small = queries.limit(most + 1).count() <= most
+    wanted = queries.groupBy("term").agg(F.collect_list(F.struct(F.col(query_id), F.col("weight").alias("qw"))).alias("_q"))
+    met = _raw(counts, idf, own).join(F.broadcast(wanted) if small else wanted, "term", "left")
+    hit = F.when(F.col("_q").isNotNull(), F.struct("w", "_q"))
+    docs = met.groupBy(corpus_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"), F.collect_list(hit).alias("_hits"))
+    each = docs.select(corpus_id, "_norm", F.inline("_hits")).select(corpus_id, (F.col("w") / F.col("_norm")).alias("cw"), F.inline("_q"))
+    scores = each.groupBy(corpus_id, query_id).agg(F.round(F.sum(F.col("qw") * F.col("cw")), 9).alias("similarity"))
     order = Window.partitionBy(query_id).orderBy(F.desc("similarity"), F.desc(corpus_id))
-    return scores.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("place")
+    return scores.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select(query_id, corpus_id, "similarity")
 
 
 def nearest_vectors(queries: DataFrame, vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, block: int = 4096) -> DataFrame:

@@ -103,6 +103,23 @@ def invocation_rollup(history: DataFrame) -> DataFrame:
     )
 
 
+def invocation_totals(runs: DataFrame, by: list[str], column: str = "invocations") -> DataFrame:
+    """(by, invocations, wall_clock_seconds, training_tokens, peak_vram_mb, hardware, tokens_per_second) over rows with an
+    ARRAY of STRUCT<wall_clock_seconds, training_tokens, peak_vram_mb, hardware> in a column: sums of all invocations, the
+    most memory, the different hardware in order. What no invocation measured is null."""
+    each = runs.select(*by, F.explode(column).alias("i")).select(*by, "i.*")
+    total = each.groupBy(*by).agg(
+        F.count("*").alias("invocations"),
+        F.round(F.sum("wall_clock_seconds"), 6).alias("wall_clock_seconds"),
+        F.sum("training_tokens").alias("training_tokens"),
+        F.round(F.max("peak_vram_mb"), 6).alias("peak_vram_mb"),
+        F.array_join(F.array_sort(F.collect_set("hardware")), "; ").alias("hardware"),
+        # a speed needs both numbers of an invocation
+        (F.sum(F.when(F.col("wall_clock_seconds").isNotNull(), F.col("training_tokens"))) / F.nullif(F.sum(F.when(F.col("training_tokens").isNotNull(), F.col("wall_clock_seconds"))), F.lit(0.0))).alias("speed"),
+    )
+    return total.withColumn("tokens_per_second", F.round("speed", 6)).drop("speed")
+
+
 def flatten_struct(rows: DataFrame, column: str, keys: list[str]) -> DataFrame:
     """(keys, key, value): a row for each leaf of a struct, with dotted keys and values as strings."""
 

@@ -60,6 +60,16 @@ def rubric_aggregate(spark: SparkSession, folder: str) -> DataFrame:
     return reports.rubric_summary(rows)
 
 
+def judge_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores read from answers of a judge, one JSON text for each generation. A rule stands for the judge; answers to
+    empty completions are no JSON, and of the others every criterion has a score and a reason."""
+    length = F.char_length("completion")
+    part = lambda c, k: F.concat(F.lit(f'"{c}": {{"score": '), (F.pmod(length + k, F.lit(10)) + 1).cast("string"), F.lit(', "justification": "'), length.cast("string"), F.lit(' \\"characters\\""}'))
+    answer = F.when(length > 0, F.concat(F.lit("{"), part("grammar", 0), F.lit(", "), part("plot", 3), F.lit("}"))).otherwise(F.lit("no answer"))
+    rows = generations(spark, folder).select(reports.item_id("prompt_id", "preset", "seed").alias("item_id"), reports.parse_judgement(answer).alias("judged"))
+    return rows.select("item_id", F.explode_outer("judged").alias("criterion", "found")).select("item_id", "criterion", "found.score", "found.justification")
+
+
 def job_enumeration(spark: SparkSession, folder: str) -> DataFrame:
     presets = generations(spark, folder).where("preset is not null").groupBy("preset").agg(F.max("settings.do_sample").alias("do_sample"))
     seeds = generations(spark, folder).where("seed is not null").select("seed").distinct()
@@ -128,6 +138,10 @@ QUERIES = {
     "rating_sheet": (rating_sheet, f"WITH {_G} SELECT concat_ws('|', prompt_id, preset, seed::VARCHAR) AS item_id, category, prompt, completion, '' AS grammar, '' AS coherence, '' AS creativity, '' AS consistency, '' AS plot FROM g"),
     "rubric_prompts": (rubric_prompts, f"WITH {_G} SELECT concat_ws('|', prompt_id, preset, seed::VARCHAR) AS item_id, md5('Rate the continuation from 1 to 10 for: grammar, coherence, creativity, consistency, plot.' || chr(10) || chr(10) || 'Prompt: ' || prompt || chr(10) || chr(10) || 'Continuation: ' || completion) AS prompt_md5 FROM g"),
     "rubric_aggregate": (rubric_aggregate, f"WITH {_M}, s AS (SELECT 'phrases' AS criterion, round(10 - 10 * r4, 6) AS score FROM me UNION ALL SELECT 'sentences', round(10 - 10 * rs, 6) FROM me) SELECT criterion, round(avg(score), 6) AS mean, round(coalesce(stddev_samp(score), 0.0), 6) AS std, count(score) AS n FROM s GROUP BY criterion"),
+    "judge_scores": (
+        judge_scores,
+        f"WITH {_G}, a AS (SELECT concat_ws('|', prompt_id, preset, seed::VARCHAR) AS item_id, length(completion) AS n FROM g) SELECT item_id, criterion, CASE WHEN n > 0 THEN ((n + k) % 10 + 1)::DOUBLE END AS score, CASE WHEN n > 0 THEN n || ' \"characters\"' END AS justification FROM (SELECT item_id, n, unnest(CASE WHEN n > 0 THEN ['grammar', 'plot'] ELSE [NULL] END) AS criterion, unnest(CASE WHEN n > 0 THEN [0, 3] ELSE [0] END) AS k FROM a)",
+    ),
     "job_enumeration": (job_enumeration, f"WITH {_JOBS} SELECT prompt_id, preset, seed FROM jobs"),
     "pending_jobs": (pending_jobs, f"WITH {_JOBS} SELECT prompt_id, preset, seed FROM jobs EXCEPT SELECT prompt_id, preset, seed FROM g"),
     "context_fit": (context_fit, f"WITH {_G} SELECT DISTINCT prompt_id, md5(prompt) AS prompt_md5, prompt_tokens + 1 < 24 AS fits, CASE WHEN NOT prompt_tokens + 1 < 24 THEN 'prompt has ' || prompt_tokens || ' tokens, context 24' END AS reason FROM g WHERE prompt_tokens IS NOT NULL"),

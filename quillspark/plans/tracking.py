@@ -123,6 +123,27 @@ def invocation_rollup(spark: SparkSession, folder: str) -> DataFrame:
     return tracking.invocation_rollup(history(spark, folder))
 
 
+def invocation_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals of each model over all index rows of it, as the invocations of one entry."""
+    parts = ["wall_clock_seconds", "training_tokens", "peak_vram_mb", "hardware"]
+    nested = table(spark, folder, "experiments").groupBy("model_name").agg(F.collect_list(F.struct(*parts)).alias("invocations"))
+    return tracking.invocation_totals(nested, ["model_name"])
+
+
+def short_hardware(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "experiments").where("hardware is not null").select("hardware").distinct().select("hardware", reports.short_hardware(F.col("hardware")).alias("short"))
+
+
+def speed_ratios(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.speed_ratios(runs(spark, folder).where("hardware is not null"), ["hardware"], "model_name", "tokens_per_second", "tiny-27m")
+
+
+def step_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Rates of a run's steps in place of tokens, the first of which took the mean time."""
+    rows = runs(spark, folder).where("steps > 0 and wall_clock_seconds > 0").withColumn("first", F.col("wall_clock_seconds") / F.col("steps"))
+    return reports.generation_rates(rows, "steps", "first", "wall_clock_seconds").select("run_id", "decode_per_second", "end_to_end_per_second")
+
+
 def chart_points(spark: SparkSession, folder: str) -> DataFrame:
     return reports.chart_points(history(spark, folder).where("not isnan(train_loss)"))
 
@@ -183,6 +204,22 @@ QUERIES = {
     "checkpoint_rotation": (checkpoint_rotation, f"WITH {_H} SELECT run_id, step FROM (SELECT run_id, step, row_number() OVER (PARTITION BY run_id ORDER BY step DESC) AS p FROM (SELECT DISTINCT run_id, step FROM history WHERE kind = 'validation')) WHERE p <= 3"),
     "weighted_validation_loss": (weighted_validation_loss, f"WITH {_H}, {_VAL} SELECT run_id, round(sum(val_loss * val_predicted_tokens) / sum(val_predicted_tokens), 9) AS mean_loss, sum(val_predicted_tokens)::BIGINT AS weight FROM v WHERE val_predicted_tokens > 0 GROUP BY run_id"),
     "invocation_rollup": (invocation_rollup, f"WITH {_H} SELECT run_id, count(*) AS records, max(tokens_seen) AS tokens_seen, round(max(train_seconds), 6) AS train_seconds, round(max(tokens_seen) / nullif(max(train_seconds), 0.0), 6) AS tokens_per_second FROM history WHERE kind = 'train' GROUP BY run_id"),
+    "invocation_totals": (
+        invocation_totals,
+        "SELECT model_name, count(*) AS invocations, round(sum(wall_clock_seconds), 6) AS wall_clock_seconds, sum(training_tokens)::BIGINT AS training_tokens, round(max(peak_vram_mb), 6) AS peak_vram_mb, coalesce(array_to_string(list_sort(list(DISTINCT hardware) FILTER (WHERE hardware IS NOT NULL)), '; '), '') AS hardware, round(sum(training_tokens) FILTER (WHERE wall_clock_seconds IS NOT NULL) / nullif(sum(wall_clock_seconds) FILTER (WHERE training_tokens IS NOT NULL), 0.0), 6) AS tokens_per_second FROM experiments GROUP BY model_name",
+    ),
+    "short_hardware": (
+        short_hardware,
+        "WITH h AS (SELECT DISTINCT hardware FROM experiments WHERE hardware IS NOT NULL), p AS (SELECT hardware, replace(replace(replace(replace(replace(replace(replace(hardware, 'NVIDIA ', ''), 'GeForce ', ''), '(R)', ''), '(TM)', ''), '11th Gen ', ''), 'Intel ', ''), 'Core ', '') AS p FROM h) SELECT hardware, trim(regexp_replace(CASE WHEN starts_with(p, 'CPU (') THEN 'CPU ' || trim(regexp_extract(p, '^CPU \\(([^,@]*)', 1)) ELSE p END, '\\s+', ' ', 'g')) AS short FROM p",
+    ),
+    "speed_ratios": (
+        speed_ratios,
+        f"WITH {_R}, m AS (SELECT hardware, model_name, median(tokens_per_second) AS median FROM runs WHERE hardware IS NOT NULL AND tokens_per_second IS NOT NULL GROUP BY 1, 2) SELECT m.hardware, m.model_name, round(m.median, 6) AS median, round(m.median / nullif(b.median, 0.0), 6) AS ratio FROM m LEFT JOIN m b ON b.hardware = m.hardware AND b.model_name = 'tiny-27m'",
+    ),
+    "step_rates": (
+        step_rates,
+        f"WITH {_R} SELECT run_id, round((steps - 1) / greatest(wall_clock_seconds - wall_clock_seconds / steps, 1e-9), 6) AS decode_per_second, round(steps / wall_clock_seconds, 6) AS end_to_end_per_second FROM runs WHERE steps > 0 AND wall_clock_seconds > 0",
+    ),
     "chart_points": (chart_points, f"WITH {_H} SELECT run_id, step, round(train_loss, 4) AS train_loss, round(lr, 8) AS lr FROM history WHERE kind = 'train' AND NOT isnan(train_loss) AND (step % 100 = 0 OR step < 100)"),
     "lr_schedule": (lr_schedule, "SELECT step, round(CASE WHEN step < 500 THEN (step + 1) / 500.0::DOUBLE ELSE 0.1::DOUBLE + (1 - 0.1::DOUBLE) * 0.5::DOUBLE * (1 + cos(pi() * least(1.0::DOUBLE, (step - 500) / 11500.0::DOUBLE))) END, 9) AS multiplier FROM (SELECT unnest(range(12000)) AS step)"),
     "kv_cache_table": (kv_cache_table, "SELECT b::BIGINT AS batch_size, 512 AS seq_len, round(b * 2 * 8 * 512 * 4 * 64 * 2 / 1048576.0::DOUBLE, 6) AS gqa_mb, round(b * 2 * 8 * 512 * 8 * 64 * 2 / 1048576.0::DOUBLE, 6) AS mha_mb, 2.0::DOUBLE AS ratio FROM (SELECT unnest([1, 8, 64]) AS b)"),

@@ -104,3 +104,11 @@ def read_packed(spark: SparkSession, folder: str, tokenizer: str | None = None)
 def rows_of(rows: DataFrame, id_col: str, ids: list[Any]) -> DataFrame:
     """Rows by id; the filter reaches the scan."""
     return rows.where(F.col(id_col).isin(ids))
+
+
+def resolved_revision(configured: str | None, lookup) -> str | None:
+    """The revision that lookup() gives; the configured one if it gives none or fails, for whatever reason."""
+    try:
+        return lookup() or configured
+    except Exception:  # noqa: BLE001 - a store that can't be reached must not stop a run
+        return configured

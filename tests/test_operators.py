@@ -147,11 +147,18 @@ def test_packing_of_nothing(spark):
 
 def test_accounting(spark):
     docs = spark.createDataFrame([(1, "ab"), (2, "é")], "id long, text string").withColumn("tokens", byte_tokens(F.col("text")))
-    stats = packing.packing_stats(docs, 4).first().asDict()
-    packing.validate_packing(stats)
+    stats = packing.balanced(packing.packing_stats(docs, 4)).first().asDict()
     assert (stats["stream_tokens"], stats["sequences"], stats["discarded_tokens"]) == (6, 1, 2)
-    with pytest.raises(ValueError):
-        packing.validate_packing({"examples": 2, "text_tokens": 10, "eos_tokens": 2, "stream_tokens": 12, "packed_tokens": 8, "sequences": 2, "discarded_tokens": 3, "block_size": 4})
+    for wrong in ({"discarded_tokens": 3}, {"eos_tokens": 1}, {"sequences": 2}, {"text_tokens": 5}, {"sequences": 0, "packed_tokens": 0, "discarded_tokens": 6}):
+        with pytest.raises(Exception, match="contradict"):
+            packing.balanced(spark.createDataFrame([stats | wrong])).collect()
+
+
+def test_offsets_of_skewed_ids(spark):
+    ids = [0, 1, 2, 3, 10**15, 10**15 + 1, 2 * 10**17]
+    docs = spark.createDataFrame([(k, list(range(1, n + 2))) for n, k in enumerate(ids)], "id long, tokens array<int>").repartition(3)
+    found = [r["start"] for r in packing.token_offsets(docs).orderBy("id").collect()]
+    assert found == [sum(n + 2 for n in range(k)) for k in range(len(ids))]
 
 
 def test_seed_statistics(spark):
@@ -216,7 +223,8 @@ def test_retrieval_finds_the_copy(spark):
     counts = retrieval.term_counts(docs, "id", "text")
     idf = retrieval.inverse_frequencies(counts, "id", docs)
     weights = retrieval.tfidf(counts, idf, "id")
-    found = retrieval.top_matches(weights.withColumnRenamed("id", "q"), weights, "q", "id").collect()
+    found = retrieval.top_matches(weights.withColumnRenamed("id", "q"), counts, idf, "q", "id").collect()
+    assert sorted(found) == sorted(retrieval.top_matches(weights.withColumnRenamed("id", "q"), counts, idf, "q", "id", most=0).collect())
     assert {(r["q"], r["id"], r["similarity"]) for r in found} == {(1, 1, 1.0), (2, 2, 1.0)}
 
 

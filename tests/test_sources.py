@@ -67,7 +67,9 @@ def test_settings(tmp_path):
         config.load(tmp_path / "child.json", ["splits.mini=3"])
     with pytest.raises(config.ConfigError):
         config.load(tmp_path / "child.json", ["packing.block_size=0"])
+    assert config.load(tmp_path / "child.json").packing.block_size == 64
+    assert config.typed(config.PipelineConfig, {}) == config.PipelineConfig()
     (tmp_path / "base.json").write_text(json.dumps({"extends": "child.json"}))
     with pytest.raises(config.ConfigError, match="extend"):
         config.load(tmp_path / "child.json")
-    assert config.difference({"a": {"b": 1}, "description": "x"}, {"a": {"b": 2, "c": 3}, "description": "y"}) == {"a.b": (1, 2), "a.c": (None, 3)}
+    assert config.difference({"a": {"b": 1}, "description": "x"}, {"a": {"b": 2, "c": 3}, "description": "y"}, ["description"]) == {"a.b": (1, 2), "a.c": (None, 3)}
