@@ -17,6 +17,7 @@ class Classes:
 
     def __init__(self, table: DataFrame):
         self.table = table
+        self.firsts: DataFrame | None = None
         self.total = table.count()
         self.sizes = table.groupBy("words").agg(F.min("id").alias("rep"), F.count("*").alias("n")).persist()
         several = self.sizes.where("n > 1")
@@ -37,10 +38,11 @@ class Classes:
 
     def representatives(self) -> DataFrame:
         """One row of each class, that of the least id, with its columns."""
-        first = self._split(self.sizes.select("words", "rep"), True).withColumnsRenamed({"words": "_words", "rep": "_rep"})
-        rows = self._split(self.table, True)
-        kept = rows.join(first, (F.col("words") == F.col("_words")) & (F.col("id") == F.col("_rep"))).drop("_words", "_rep").dropDuplicates(["words", "id"])
-        return self._split(self.table, False).unionByName(kept)
+        if self.firsts is None:
+            first = self._split(self.sizes.select("words", "rep"), True).withColumnsRenamed({"words": "_words", "rep": "_rep"})
+            rows = self._split(self.table, True)
+            self.firsts = rows.join(first, (F.col("words") == F.col("_words")) & (F.col("id") == F.col("_rep"))).drop("_words", "_rep").dropDuplicates(["words", "id"]).persist()
+        return self._split(self.table, False).unionByName(self.firsts)
 
     def members(self, reps: DataFrame, columns: list[str]) -> DataFrame:
         """(rep, n, id, *columns) of all members of the classes whose representatives are in the BIGINT columns of reps, and

@@ -119,25 +119,29 @@ def _key_rows(options: NearDuplicateOptions):
     return rows
 
 
+#: Bits of a row's key below the block: 22 for the tile, 2 for the side.
+_TILE, _SIDE = 22, 2
+#: Parts of a block at most, so tiles fit their bits; beyond it parts get larger.
+_MAX_PARTS = 2000
+
+
 def _block_rows(options: NearDuplicateOptions, load):
-    """(id, print) -> (block, tile, side, id): a row for each block. The members of a block with more than options.hot rows
-    are cut into parts by their id, and each pair of parts is a tile: a member goes to the tiles of its part, on one of
-    their two sides."""
+    """(id, print) -> (key, id): a row for each block; the key has the block, the tile and the side. The members of a block
+    with more than options.hot rows are cut into parts by their id, and each pair of parts is a tile: a member goes to the
+    tiles of its part, on one of their two sides. Other blocks have tile 0."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["block", "tile", "side", "id"]
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for part in range(0, len(ids), 2000):
                 some = ids[part : part + 2000]
                 keys = block_keys(_prints(batch.column(1).slice(part, 2000), options), options).ravel()
                 of = np.repeat(some, options.blocks)
-                cut = load.value.parts(keys, options.hot)
+                cut = np.minimum(load.value.parts(keys, options.hot), _MAX_PARTS)
                 whole = cut == 1
-                n = int(whole.sum())
-                if n:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[whole]), pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int32)), pa.array(of[whole])], names=names)
-                if n == len(keys):
+                if whole.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[whole] << (_TILE + _SIDE)), pa.array(of[whole])], names=["key", "id"])
+                if whole.all():
                     continue
                 keys, of, cut = keys[~whole], of[~whole], cut[~whole]
                 own = (mix(of.view(np.uint64)) % cut.astype(np.uint64)).astype(np.int64)
@@ -146,38 +150,29 @@ def _block_rows(options: NearDuplicateOptions, load):
                 tile = np.minimum(own, other) * cut + np.maximum(own, other) + 1
                 # side 2: both sides of a tile are the same part
                 side = np.where(own == other, 2, (own > other).astype(np.int64))
+                keys = ((keys << _TILE | tile) << _SIDE) | side
                 for at in range(0, len(keys), 1 << 18):
-                    s = slice(at, at + (1 << 18))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[s]), pa.array(tile[s].astype(np.int32)), pa.array(side[s].astype(np.int32)), pa.array(of[s])], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 18)]), pa.array(of[at : at + (1 << 18)])], names=["key", "id"])
 
     return rows
 
 
-def _whole_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
-    """From rows sorted by their first `keys` columns: columns of rows such that no run of equal keys is torn."""
+def _whole_runs(batches: Iterator[pa.RecordBatch], shift: int) -> Iterator[list[np.ndarray]]:
+    """From rows sorted by their first column: columns of rows such that no run of equal keys, without their last `shift`
+    bits, is torn. Parts of a long run are put together once."""
     held: list[list[np.ndarray]] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         now = [c.to_numpy() for c in batch.columns]
-        last = np.ones(batch.num_rows, bool)
-        for c in now[:keys]:
-            last &= c == c[-1]
-        cut = int(last.argmax())
-        same = held and all(h[-1] == c[0] for h, c in zip(held[-1], now[:keys]))
-        if held and (cut or not same):
-            if same:
-                held.append([c[:cut] for c in now])
-                now = [c[cut:] for c in now]
+        cut = int(np.searchsorted(now[0] >> shift, now[0][-1] >> shift))
+        if held and held[-1][0][-1] >> shift != now[0][0] >> shift:
             yield [np.concatenate(c) for c in zip(*held)]
             held = []
-            if not same and cut:
-                yield [c[:cut] for c in now]
-                now = [c[cut:] for c in now]
-        elif cut:
-            yield [c[:cut] for c in now]
-            now = [c[cut:] for c in now]
-        held.append(now)
+        if cut:
+            yield [np.concatenate(c) for c in zip(*held, [c[:cut] for c in now])]
+            held = []
+        held.append([c[cut:] for c in now])
     if held:
         yield [np.concatenate(c) for c in zip(*held)]
 
@@ -187,22 +182,25 @@ _AT_ONCE = 1 << 20
 
 
 def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (block, tile, side, id) sorted by block, tile and side: (lo, hi) of the pairs of each block or tile."""
-    for block, tile, side, ids in _whole_runs(batches, 2):
-        n = len(block)
-        new = np.flatnonzero((block[1:] != block[:-1]) | (tile[1:] != tile[:-1])) + 1
+    """From rows (key, id) sorted by key: (lo, hi) of the pairs of each block or tile."""
+    for key, ids in _whole_runs(batches, _SIDE):
+        n = len(key)
+        run_key, side = key >> _SIDE, key & ((1 << _SIDE) - 1)
+        new = np.flatnonzero(run_key[1:] != run_key[:-1]) + 1
         first, end = np.concatenate([[0], new]), np.concatenate([new, [n]])
-        run = np.repeat(np.arange(len(first)), end - first)
+        size = end - first
         # partners of a row: the rows after it, in a tile of two parts those of the other side
-        begin = np.arange(1, n + 1)
-        two = (tile > 0) & (side < 2)
+        begin, last = np.arange(1, n + 1), np.repeat(end, size)
+        two = (run_key & ((1 << _TILE) - 1) > 0) & (side < 2)
         if two.any():
             middle = first + np.add.reduceat((two & (side == 0)).astype(np.int64), first)
-            begin = np.where(two, np.where(side == 0, middle[run], end[run]), begin)
-        wide = end[run] - begin
+            begin = np.where(two, np.where(side == 0, np.repeat(middle, size), last), begin)
+        wide = last - begin
         at = np.flatnonzero(wide > 0)
+        if not len(at):
+            continue
         total = np.cumsum(wide[at])
-        cuts = np.searchsorted(total, np.arange(_AT_ONCE, int(total[-1]) if len(total) else 0, _AT_ONCE)) + 1
+        cuts = np.searchsorted(total, np.arange(_AT_ONCE, int(total[-1]), _AT_ONCE)) + 1
         for rows in np.split(at, np.unique(cuts)):
             if not len(rows):
                 continue
@@ -217,8 +215,8 @@ def candidate_pairs(prints: DataFrame, options: NearDuplicateOptions) -> DataFra
     """(lo, hi) of rows (id, print) that share options.shared blocks. Blocks are counted in a table of fixed size first, so
     one with many members is cut into tiles before anything is shuffled, and no task gets it."""
     load = prints.sparkSession.sparkContext.broadcast(slot_counts(prints.select("print").mapInArrow(_key_rows(options), "keys binary")))
-    blocks = prints.select("id", "print").mapInArrow(_block_rows(options, load), "block long, tile int, side int, id long")
-    pairs = blocks.repartition("block", "tile").sortWithinPartitions("block", "tile", "side").mapInArrow(_pair_rows, "lo long, hi long")
+    blocks = prints.select("id", "print").mapInArrow(_block_rows(options, load), "key long, id long")
+    pairs = blocks.repartition(F.shiftright("key", _SIDE)).sortWithinPartitions("key").mapInArrow(_pair_rows, "lo long, hi long")
     return pairs.groupBy("lo", "hi").count().where(F.col("count") >= options.shared).select("lo", "hi")
 
 

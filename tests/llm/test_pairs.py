@@ -234,7 +234,7 @@ def test_whole_runs():
         keys = np.sort(np.array([rng.randrange(6) for _ in range(40)], np.int64))
         cuts = [0, *sorted(rng.randrange(41) for _ in range(9)), 40]
         batches = [pa.RecordBatch.from_arrays([pa.array(keys[a:b]), pa.array(np.arange(a, b))], names=["k", "v"]) for a, b in zip(cuts, cuts[1:])]
-        out = list(_whole_runs(iter(batches), 1))
+        out = list(_whole_runs(iter(batches), 0))
         assert np.concatenate([o[0] for o in out]).tolist() == keys.tolist() and np.concatenate([o[1] for o in out]).tolist() == list(range(40))
         ends = [o[0][-1] for o in out]
         assert len(set(ends)) == len(ends) and all(o[0][0] != e for o, e in zip(out[1:], ends))
