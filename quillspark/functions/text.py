@@ -48,7 +48,10 @@ def _nfkc(text: pa.Array) -> pa.Array:
 
 
 def unicode_form(text: Column, form: str) -> Column:
-    return {"NFC": _nfc, "NFKC": _nfkc}[form](text) if form != "none" else text
+    """Only texts with characters beyond ASCII go to Python."""
+    if form == "none":
+        return text
+    return F.coalesce({"NFC": _nfc, "NFKC": _nfkc}[form](F.when(F.octet_length(text) > F.char_length(text), text)), text)
 
 
 def typographic_to_ascii(text: Column) -> Column:

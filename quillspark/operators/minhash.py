@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.wordhash import ASCII_WORDS, WordHashes, chunks
+from .skew import expand, join_groups
 
 
 @dataclass(frozen=True)
@@ -99,20 +100,12 @@ def band_rows(signatures: DataFrame, id_col: str, options: MinHashOptions) -> Da
 
 
 def _pairs_within(rows: DataFrame, keys: list[str], id_col: str, hot: int) -> DataFrame:
-    """(keys, lo, hi) of all rows with equal keys. A group with more than hot members is cut into slices, and each pair
-    of slices is a group of its own, so no task pairs the whole group."""
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("members")).where("members > 1")
-    slices = F.ceil(F.col("members") / hot).cast("int")
-    tiles = (
-        rows.join(sizes, keys)
-        .withColumn("own", F.pmod(F.xxhash64(id_col), slices).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), slices - 1)))
-        .select(*keys, F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).alias("side"), id_col)
-    )
-    first = tiles.where("not side").select(*keys, "a", "b", F.col(id_col).alias("x"))
-    second = tiles.where("side or a = b").select(*keys, "a", "b", F.col(id_col).alias("y"))
-    met = first.join(second, [*keys, "a", "b"]).where((F.col("x") < F.col("y")) | ((F.col("a") != F.col("b")) & (F.col("x") != F.col("y"))))
-    return met.select(*keys, F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"))
+    """(keys, lo, hi) of all rows with equal keys, however many there are of one: expand cuts large groups."""
+    rows = rows.select(*keys, F.col(id_col).alias("id")).persist()
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").withColumn("rep", F.struct(*keys)).persist()
+    members = join_groups(rows, sizes, keys, "n", rows.count()).select("rep", "n", "id")
+    met = expand(sizes.select(F.col("rep").alias("lo"), F.col("rep").alias("hi"), *keys), members, members, hot)
+    return met.where("x < y").select(*keys, F.col("x").alias("lo"), F.col("y").alias("hi"))
 
 
 def signature_classes(signatures: DataFrame, id_col: str) -> DataFrame:
@@ -135,11 +128,12 @@ def _class_pairs(classes: DataFrame, options: MinHashOptions) -> DataFrame:
 
 def _member_pairs(pairs: DataFrame, classes: DataFrame, signatures: DataFrame, id_col: str, options: MinHashOptions) -> DataFrame:
     """Pairs of representatives (lo, hi, similarity) as pairs of all members, and the pairs within each class."""
-    members = signatures.join(classes.where("size > 1").select("rep", "signature"), "signature").select("rep", F.col(id_col).alias("id"))
-    every = members.union(classes.where("size = 1").select("rep", F.col("rep").alias("id")))
-    both = pairs.join(every.select(F.col("rep").alias("lo"), F.col("id").alias("x")), "lo").join(every.select(F.col("rep").alias("hi"), F.col("id").alias("y")), "hi")
-    across = both.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"), "similarity")
-    return across.union(_pairs_within(members, ["rep"], "id", options.hot).select("lo", "hi", F.lit(1.0)))
+    several = classes.where("size > 1").select("rep", "signature", F.col("size").alias("n"))
+    copies = join_groups(signatures.select("signature", F.col(id_col).alias("id")), several, ["signature"], "n", signatures.count()).select("rep", "n", "id")
+    every = copies.union(classes.where("size = 1").select("rep", F.lit(1).cast("long").alias("n"), F.col("rep").alias("id"))).persist()
+    across = expand(pairs, every, every, options.hot).select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"), "similarity")
+    inside = expand(several.select(F.col("rep").alias("lo"), F.col("rep").alias("hi")), every, every, options.hot).where("x < y")
+    return across.union(inside.select("x", "y", F.lit(1.0)))
 
 
 def candidate_pairs(signatures: DataFrame, id_col: str, options: MinHashOptions) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from ..functions.text import content_hash
 
 _BLOCKS = "split string, block_id long, tokens array<int>"
 _STATE = "next_block long, rest array<int>"
+#: Blocks put out at once.
+_AT_ONCE = 4096
 
 
 def packed_stream(docs: DataFrame, block_size: int = 512, eos: int = 0) -> DataFrame:
@@ -22,20 +25,21 @@ def packed_stream(docs: DataFrame, block_size: int = 512, eos: int = 0) -> DataF
     decide the order of documents, so all of a split's state is one small row."""
 
     def pack(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        number, rest = (state.get[0], list(state.get[1])) if state.exists else (0, [])
-        rows = pd.concat(list(parts)).sort_values("id", kind="stable")
-        blocks = []
-        for tokens in rows["tokens"]:
-            if tokens is None:
-                continue
-            rest.extend(int(t) for t in tokens)
-            rest.append(eos)
-            done = len(rest) // block_size
-            blocks += [rest[i * block_size : (i + 1) * block_size] for i in range(done)]
-            del rest[: done * block_size]
-        state.update((number + len(blocks), rest))
-        if blocks:
-            yield pd.DataFrame({"split": key[0], "block_id": range(number, number + len(blocks)), "tokens": blocks})
+        number, rest = (state.get[0], np.asarray(state.get[1], np.int32)) if state.exists else (0, np.zeros(0, np.int32))
+        # Spark sorts nothing within a group: parts are small columns of ids and arrays, ordered once
+        ids, arrays = [], []
+        for part in parts:
+            kept = part[part["tokens"].notna()]
+            ids.append(kept["id"].to_numpy())
+            arrays += list(kept["tokens"])
+        order = np.argsort(np.concatenate(ids), kind="stable") if ids else []
+        end = np.array([eos], np.int32)
+        stream = np.concatenate([rest, *(x for i in order for x in (np.asarray(arrays[i], np.int32), end))])
+        whole = len(stream) // block_size
+        state.update((number + whole, stream[whole * block_size :].tolist()))
+        for at in range(0, whole, _AT_ONCE):
+            blocks = stream[at * block_size : min(whole, at + _AT_ONCE) * block_size].reshape(-1, block_size)
+            yield pd.DataFrame({"split": key[0], "block_id": range(number + at, number + at + len(blocks)), "tokens": list(blocks)})
 
     grouped = docs.select("split", "id", "tokens").groupBy("split")
     return grouped.applyInPandasWithState(pack, _BLOCKS, _STATE, "append", GroupStateTimeout.NoTimeout)
