@@ -194,3 +194,22 @@ def cross_near_duplicates(reference: DataFrame, queries: DataFrame, id_col: str,
     pairs = band_rows(queries, id_col, options).join(first, ["band", "bucket"]).select(F.col(id_col).alias("q"), "ref").distinct()
     both = pairs.join(queries.select(F.col(id_col).alias("q"), F.col("signature").alias("a")), "q").join(reference.select(F.col(id_col).alias("ref"), F.col("signature").alias("b")), "ref")
     return both.where(estimated_similarity(F.col("a"), F.col("b"), options) >= options.threshold).select(F.col("q").alias(id_col)).distinct()
+
+
+def cross_near_duplicate_pairs(reference: DataFrame, queries: DataFrame, id_col: str, options: MinHashOptions) -> DataFrame:
+    """(id_col, reference_id, similarity): each query with each class of reference documents of equal signature, named by its
+    smallest id, that shares a bucket with it and reaches the threshold. Unlike cross_near_duplicates, whose result depends on
+    the first document of a bucket, this compares all of a bucket; large buckets are cut by expand."""
+    known, asked = signature_classes(reference, id_col).persist(), signature_classes(queries, id_col).persist()
+    keys = ["band", "bucket"]
+    bands = band_rows(known, "rep", options).withColumn("side", F.lit(0)).union(band_rows(asked, "rep", options).withColumn("side", F.lit(1))).withColumnRenamed("rep", "id").persist()
+    sizes = bands.groupBy(*keys).agg(F.count_if(F.col("side") == 0).alias("ln"), F.count_if(F.col("side") == 1).alias("rn")).where("ln > 0 and rn > 0").withColumn("n", F.col("ln") + F.col("rn")).withColumn("rep", F.struct(*keys)).persist()
+    met = join_groups(bands, sizes, keys, "n", bands.count()).persist()
+    left, right = (met.where(F.col("side") == k).select("rep", F.col(n).alias("n"), "id") for k, n in ((0, "ln"), (1, "rn")))
+    pairs = expand(sizes.select(F.col("rep").alias("lo"), F.col("rep").alias("hi")), left, right, options.hot).distinct()
+    both = pairs.join(known.select(F.col("rep").alias("x"), F.col("signature").alias("a")), "x").join(asked.select(F.col("rep").alias("y"), F.col("signature").alias("b")), "y")
+    near = both.select("x", "y", estimated_similarity(F.col("a"), F.col("b"), options).alias("similarity")).where(F.col("similarity") >= options.threshold)
+    members = join_groups(queries.select(F.col("signature"), F.col(id_col).alias("id")), asked.select("signature", "rep", F.col("size").alias("n")), ["signature"], "n", queries.count()).select("rep", "n", "id")
+    alone = near.select(F.col("x").alias("reference_id"), "similarity", F.col("y").alias("lo"), F.col("x").alias("hi"))
+    own = known.select("rep", F.lit(1).cast("long").alias("n"), F.col("rep").alias("id"))
+    return expand(alone, members, own, options.hot).select(F.col("x").alias(id_col), "reference_id", "similarity")

@@ -47,6 +47,13 @@ def cross_near_dup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.cross_near_duplicates(sign("train"), sign("test"), "story_id", _NATIVE)
 
 
+def cross_near_dup_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Test stories with each different near duplicate in the training stories."""
+    rows = corpus(spark, folder).where("text is not null").select("story_id", "role", "text").distinct()
+    sign = lambda role: minhash.md5_signatures(rows.where(F.col("role") == role), "story_id", "text", _NATIVE).persist()
+    return minhash.cross_near_duplicate_pairs(sign("train"), sign("test"), "story_id", _NATIVE)
+
+
 def minhash_128(spark: SparkSession, folder: str) -> DataFrame:
     """Near duplicates with 128 numeric permutations in 16 bands."""
     docs = table(spark, folder, "tinystories", "story_id", "text")
@@ -116,6 +123,10 @@ QUERIES = {
     "near_dup_report": (near_dup_report, f"WITH {_PAIRS}, i AS (SELECT lo AS id FROM vp UNION SELECT hi FROM vp) SELECT (SELECT count(*) FROM sig) AS documents, (SELECT count(*) FROM vp) AS verified_pairs, (SELECT count(*) FROM i) AS documents_with_near_duplicate, round((SELECT count(*) FROM i) / (SELECT count(*) FROM sig), 9) AS rate"),
     "near_dup_examples": (near_dup_examples, f"WITH {_PAIRS} SELECT lo, hi, similarity FROM vp ORDER BY similarity DESC, lo, hi LIMIT 20"),
     "cross_near_dup": (cross_near_dup, f"WITH {S.ROLES}, {_GRAMS('corpus')}, {_SIG}, {_BANDS}, ro AS (SELECT DISTINCT story_id, role FROM corpus), f AS (SELECT band, bucket, min(story_id) AS ref FROM bd JOIN ro USING (story_id) WHERE role = 'train' GROUP BY band, bucket), c AS (SELECT DISTINCT q.story_id AS q, ref FROM bd q JOIN ro ON ro.story_id = q.story_id AND ro.role = 'test' JOIN f ON f.band = q.band AND f.bucket = q.bucket) SELECT DISTINCT q AS story_id FROM c JOIN sig a ON a.story_id = q JOIN sig b ON b.story_id = ref WHERE {_SIM} >= 0.75"),
+    "cross_near_dup_pairs": (
+        cross_near_dup_pairs,
+        f"WITH {S.ROLES}, {_GRAMS('corpus')}, {_SIG}, {_BANDS}, ro AS (SELECT DISTINCT story_id, role FROM corpus), rc AS (SELECT s, min(story_id) AS ref FROM sig JOIN ro USING (story_id) WHERE role = 'train' GROUP BY s), rb AS (SELECT DISTINCT bd.band, bd.bucket, rc.ref FROM bd JOIN rc ON bd.story_id = rc.ref), p AS (SELECT DISTINCT q.story_id, rb.ref FROM bd q JOIN ro ON ro.story_id = q.story_id AND ro.role = 'test' JOIN rb ON rb.band = q.band AND rb.bucket = q.bucket) SELECT DISTINCT p.story_id, p.ref AS reference_id, ({_SIM})::DOUBLE AS similarity FROM p JOIN sig a ON a.story_id = p.story_id JOIN sig b ON b.story_id = p.ref WHERE {_SIM} >= 0.75",
+    ),
     "minhash_128": (minhash_128, ""),
     "tfidf_weights": (tfidf_weights, f"WITH {_TF}, {_WEIGHT('dw', 'tc', 'doc_id')} SELECT doc_id, count(*) AS terms, round(max(weight), 6) AS largest, round(sum(weight * weight), 6) AS norm FROM dw GROUP BY doc_id"),
     "tfidf_top1": (tfidf_neighbours, f"WITH {_TF}, {_WEIGHT('dw', 'tc', 'doc_id')}, qc AS (SELECT prompt_id, term, count(*) AS tf FROM (SELECT prompt_id, unnest({_TERMS}) AS term FROM (SELECT id AS prompt_id, {_LONG.replace('text', 'prompt')} AS w FROM prompts)) GROUP BY ALL), {_WEIGHT('qw', 'qc', 'prompt_id')}, sc AS (SELECT prompt_id, doc_id, round(sum(qw.weight * dw.weight), 9) AS similarity FROM qw JOIN dw USING (term) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY similarity DESC, doc_id DESC) AS p FROM sc) SELECT prompt_id, doc_id, round(similarity, 6) AS similarity FROM r WHERE p = 1"),
