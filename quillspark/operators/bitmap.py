@@ -58,7 +58,7 @@ def membership_bitmap(values: DataFrame, expected: int, max_bytes: int = MAX_BYT
         size *= 2
     size = min(size, max_bytes)
     out = np.zeros(size, np.uint8)
-    for row in values.mapInArrow(_rows(size), "at long, bits binary").groupBy("at").applyInArrow(_merged, "at long, bits binary").toLocalIterator():
+    for row in values.mapInArrow(_rows(size), "at long, bits binary").groupBy("at").applyInArrow(_merged, "at long, bits binary").collect():
         out[row["at"] : row["at"] + _PART] = np.frombuffer(row["bits"], np.uint8)
     return out
 

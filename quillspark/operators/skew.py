@@ -59,7 +59,7 @@ def slot_counts(values: DataFrame, slots: int = 1 << 18) -> SlotCounts:
     number of slots, a power of two. Tasks count, executors add up; the driver gets 8 bytes a slot. Nulls don't count."""
     out = np.zeros(slots, np.int64)
     found = values.mapInArrow(_count_rows(slots), "at long, counts binary").groupBy("at").applyInArrow(_summed, "at long, counts binary")
-    for row in found.toLocalIterator():
+    for row in found.collect():
         part = np.frombuffer(row["counts"], np.int64)
         out[row["at"] : row["at"] + len(part)] = part
     return SlotCounts(out)
