@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,7 +65,8 @@ HARDWARE_NOISE = ("NVIDIA ", "GeForce ", "(R)", "(TM)", "11th Gen ", "Intel ", "
 def short_hardware(name: Column) -> Column:
     """A hardware name for a chart's axis: without HARDWARE_NOISE, of a processor in brackets only what stands before its
     clock rate or further details, single blanks."""
-    plain = F.regexp_replace(name, "|".join(rf"\Q{part}\E" for part in HARDWARE_NOISE), "")
+    # one after another: a mark may stand inside another part
+    plain = functools.reduce(lambda text, part: F.replace(text, F.lit(part), F.lit("")), HARDWARE_NOISE, name)
     inside = F.trim(F.regexp_extract(plain, r"^CPU \(([^,@]*)", 1))
     return F.trim(F.regexp_replace(F.when(plain.startswith("CPU ("), F.concat(F.lit("CPU "), inside)).otherwise(plain), r"\s+", " "))
 

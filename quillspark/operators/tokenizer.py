@@ -77,8 +77,17 @@ def token_diagnostics(rows: DataFrame, text_col: str = "text", tokens_col: str =
 
 
 def round_trip_rate(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
-    """documents and the rate of those that come back from their ids, but for blanks at the start."""
-    rows = encoded(docs, id_col, text_col, path)
-    both = rows.join(decoded(rows, id_col, path), id_col)
-    same = F.ltrim("decoded") == F.ltrim(text_col)
-    return both.agg(F.count("*").alias("documents"), F.round(F.avg(same.cast("double")), 9).alias("round_trip_rate"))
+    """documents and the rate of those that come back from their ids, but for blanks at the start. Each text is encoded and
+    decoded in the same batch, so repeated ids are documents of their own and nothing but counts is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = _tokenizer(path)
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            back = tok.decode_batch([e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)], skip_special_tokens=False)
+            same = sum(x.lstrip(" ") == y.lstrip(" ") for x, y in zip(texts, back))
+            yield pa.RecordBatch.from_arrays([pa.array([len(texts)]), pa.array([same])], names=["documents", "same"])
+
+    found = docs.where(F.col(text_col).isNotNull()).select(text_col).mapInArrow(run, "documents long, same long")
+    total = found.agg(F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"), F.sum("same").alias("same"))
+    return total.select("documents", F.round(F.col("same") / F.nullif(F.col("documents"), F.lit(0)), 9).alias("round_trip_rate"))

