@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from ..functions.wordhash import WordHashes, chunks, mix
 from ..operators.bitmap import MAX_BYTES, contains, membership_bitmap, only_possible
 from ..operators.protocol import with_role
-from ..operators.skew import SlotCounts, join_groups, slot_counts
+from ..operators.skew import SlotCounts, expand, join_groups, slot_counts
 from ..session import checkpoint
 from .charforms import count_letters_and_digits, field_key, flat_key, letters_and_digits, one_form, word_key, word_text
-from .classes import Classes, expand
+from .classes import Classes
 from .near_duplicates import NearDuplicateOptions, fingerprints, similar
 
 
@@ -25,9 +25,9 @@ from .near_duplicates import NearDuplicateOptions, fingerprints, similar
 class CrossSplitOptions:
     """gram: words in a rolling hash. window: hashes of which the least is selected; runs of gram + window - 1 equal
     words always share one. share: part of the larger one's selected hashes that two similar texts have in common at least
-    (evenly spread edits down to a similarity of 0.6 leave 0.27 or more). shared: seeds that a pair must have. short: texts
+    (of 1,200 texts of each length with evenly spread edits down to a similarity of 0.6 the worst left 0.24). shared: seeds that a pair must have. short: texts
     with fewer different sequences of `shingle` words are found by these sequences, exactly. max_sketch: most
-    differing bits of 64 in the sketches of two texts, 4.4 standard deviations over what a similarity of 0.6 gives
+    differing bits of 128 in the sketches of two texts, 4.5 standard deviations over what a similarity of 0.6 gives
     (probability of a loss 1e-5). max_filter_bytes: bound of the membership filter of the evaluation texts' hashes; slots: of
     the table of their counts. hot: more members of a hash are joined by many tasks."""
 
@@ -35,11 +35,11 @@ class CrossSplitOptions:
     window: int = 4
     share: float = 0.2
     shared: int = 2
-    short: int = 64
+    short: int = 40
     shingle: int = 3
     threshold: float = 0.6
     min_letters: int = 40
-    max_sketch: int = 27
+    max_sketch: int = 46
     max_filter_bytes: int = MAX_BYTES
     slots: int = 1 << 20
     hot: int = 4096
@@ -66,7 +66,7 @@ def winnow(hashes: np.ndarray, doc: np.ndarray, window: int) -> np.ndarray:
     return np.flatnonzero(selected)
 
 
-_SKETCH = NearDuplicateOptions(components=64)
+_SKETCH = NearDuplicateOptions(components=128)
 
 
 @dataclass(frozen=True)
@@ -130,7 +130,7 @@ def _reach(options: CrossSplitOptions) -> float:
 
 
 def _print_rows(options: CrossSplitOptions, order):
-    """(id, role, text) -> (id, role, words, flat, fields, sketch, seeds, few): the seeds are the rarest selected hashes,
+    """(id, role, text) -> (id, role, words, flat, fields, s1, s2, seeds, few): s1 and s2 are the sketch, the seeds are the rarest selected hashes,
     few the rarest sequences of short texts and those that can be similar to one; both only if an evaluation text may
     have them."""
 
@@ -171,23 +171,26 @@ def _print_rows(options: CrossSplitOptions, order):
                 at = _rarest(doc, place, hashes, options.share, options.shared)
                 at = at[known[at]]
                 seeds += packed(doc[at], hashes[at], n)
-            sketch = np.packbits(fingerprints(texts, _SKETCH)[0] & 1, axis=1).view(np.int64).ravel()
-            columns = [pa.array(ids, pa.int64()), pa.array(roles, pa.string()), pa.array([word_key(t) for t in texts], pa.binary()), pa.array(plain, pa.binary()), pa.array(fields, pa.binary()), pa.array(sketch, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(seeds, pa.binary()), pa.array(few, pa.binary())], names=["id", "role", "words", "flat", "fields", "sketch", "seeds", "few"])
+            sketch = np.packbits(fingerprints(texts, _SKETCH)[0] & 1, axis=1).view(np.int64)
+            # copies within a side are one class
+            keys = [word_key(t) + (b"t" if r == "train" else b"e") for t, r in zip(texts, roles)]
+            columns = [pa.array(ids, pa.int64()), pa.array(roles, pa.string()), pa.array(keys, pa.binary()), pa.array(plain, pa.binary()), pa.array(fields, pa.binary()), pa.array(sketch[:, 0]), pa.array(sketch[:, 1])]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(seeds, pa.binary()), pa.array(few, pa.binary())], names=["id", "role", "words", "flat", "fields", "s1", "s2", "seeds", "few"])
 
     return rows
 
 
-_PRINT = "id long, role string, words binary, flat binary, fields binary, sketch long, seeds binary, few binary"
+_PRINT = "id long, role string, words binary, flat binary, fields binary, s1 long, s2 long, seeds binary, few binary"
 
 
 def _seed_rows(options: CrossSplitOptions, loads, side: int):
-    """(id, sketch, seeds, few) -> (gram, tile, id, sketch, weight): a row for each seed. The rows of a hot hash are cut into
-    parts on both sides, and each pair of parts is a tile."""
+    """(id, s1, s2, seeds, few) -> (gram, id, s1, s2): a row for each seed. The last bit of gram tells sequences of short
+    texts. The rows of a hot hash are cut into parts on both sides, and each pair of parts is a tile with a gram of its
+    own, made from both; should it equal another one by chance, the pairs that meet there are sorted out later."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for column, weight in ((2, 1), (3, options.shared)):
+            for column, last in ((3, 0), (4, 1)):
                 packed = batch.column(column).to_pylist()
                 n = np.array([len(g) // 8 for g in packed], np.int64)
                 if not n.sum():
@@ -200,20 +203,24 @@ def _seed_rows(options: CrossSplitOptions, loads, side: int):
                 ids = batch.column(0).to_numpy()[of]
                 own = (mix(ids.view(np.uint64)) % mine.astype(np.uint64)).astype(np.int64)
                 tile = own * theirs + other if side == 0 else other * mine + own
-                sketch = batch.column(1).to_numpy()[of]
-                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(tile.astype(np.int32)), pa.array(ids), pa.array(sketch), pa.array(np.full(len(gram), weight, np.int32))], names=["gram", "tile", "id", "sketch", "weight"])
+                key = np.where(mine * theirs > 1, mix(gram.view(np.uint64) + mix(tile.astype(np.uint64) + np.uint64(1))).view(np.int64), gram)
+                sketch = (batch.column(k).to_numpy()[of] for k in (1, 2))
+                yield pa.RecordBatch.from_arrays([pa.array(key & -2 | last), pa.array(ids), *map(pa.array, sketch)], names=["gram", "id", "s1", "s2"])
 
     return rows
 
 
 def seeds(evals: DataFrame, trains: DataFrame, options: CrossSplitOptions) -> DataFrame:
-    """(lo, hi) of evaluation and training texts (id, sketch, seeds, few) that share enough seeds and have near sketches."""
-    sides = [side.select("id", "sketch", "seeds", "few") for side in (evals, trains)]
+    """(lo, hi) of evaluation and training texts (id, s1, s2, seeds, few) that share enough seeds and have near sketches; a
+    shared sequence of short texts is enough."""
+    sides = [side.select("id", "s1", "s2", "seeds", "few") for side in (evals, trains)]
     loads = evals.sparkSession.sparkContext.broadcast([slot_counts(side.select("seeds", "few")) for side in sides])
-    left, right = (side.mapInArrow(_seed_rows(options, loads, k), "gram long, tile int, id long, sketch long, weight int") for k, side in enumerate(sides))
-    right = right.select("gram", "tile", F.col("id").alias("hi"), F.col("sketch").alias("other"))
-    met = left.join(right, ["gram", "tile"]).where(F.bit_count(F.col("sketch").bitwiseXOR(F.col("other"))) <= options.max_sketch)
-    return met.groupBy(F.col("id").alias("lo"), "hi").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= options.shared).select("lo", "hi")
+    left, right = (side.mapInArrow(_seed_rows(options, loads, k), "gram long, id long, s1 long, s2 long") for k, side in enumerate(sides))
+    right = right.select("gram", F.col("id").alias("hi"), F.col("s1").alias("o1"), F.col("s2").alias("o2"))
+    far = F.bit_count(F.col("s1").bitwiseXOR(F.col("o1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("o2")))
+    met = left.join(right, "gram").where(far <= options.max_sketch)
+    weight = F.when(F.col("gram").bitwiseAND(F.lit(1)) == 1, options.shared).otherwise(1)
+    return met.groupBy(F.col("id").alias("lo"), "hi").agg(F.sum(weight).alias("weight")).where(F.col("weight") >= options.shared).select("lo", "hi")
 
 
 def chain(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -294,18 +301,15 @@ def _verify_rows(options: CrossSplitOptions):
     return rows
 
 
-def _same_records(evals: DataFrame, trains: DataFrame, options: CrossSplitOptions) -> DataFrame:
-    """(x, y, l_role) of rows (id, role, flat, fields) with the same letters and digits or the same labelled fields."""
-
-    def keyed(rows: DataFrame, *more: str) -> DataFrame:
-        return rows.select(F.explode(F.array_compact(F.array("flat", "fields"))).alias("key"), "id", *more)
-
-    left, right = keyed(evals, "role").persist(), keyed(trains).select(F.xxhash64("key").alias("slot"), "key", "id")
-    total = left.count()
-    right = only_possible(right, membership_bitmap(left.select(F.xxhash64("key")), total, options.max_filter_bytes)).drop("slot").persist()
-    sizes = left.groupBy("key").agg(F.count("*").alias("ln")).join(right.groupBy("key").agg(F.count("*").alias("rn")), "key").persist()
-    left = join_groups(left, sizes, ["key"], "ln", total).select(F.col("key").alias("rep"), F.col("ln").alias("n"), "id", "role")
-    right = join_groups(right, sizes, ["key"], "rn", right.count()).select(F.col("key").alias("rep"), F.col("rn").alias("n"), "id")
+def _same_records(prints: DataFrame, options: CrossSplitOptions) -> DataFrame:
+    """(x, y, l_role) of evaluation and training rows (id, role, flat, fields) with the same letters and digits or the same
+    labelled fields."""
+    keyed = prints.select(F.explode(F.array_compact(F.array("flat", "fields"))).alias("key"), "id", "role")
+    trained = F.col("role") == "train"
+    sizes = keyed.groupBy("key").agg(F.count_if(~trained).alias("ln"), F.count_if(trained).alias("rn")).where("ln > 0 and rn > 0").withColumn("n", F.col("ln") + F.col("rn")).persist()
+    met = join_groups(keyed, sizes, ["key"], "n", 2 * prints.count()).persist()
+    left = met.where(~trained).select(F.col("key").alias("rep"), F.col("ln").alias("n"), "id", "role")
+    right = met.where(trained).select(F.col("key").alias("rep"), F.col("rn").alias("n"), "id")
     return expand(sizes.select(F.col("key").alias("lo"), F.col("key").alias("hi")), left, right, options.hot)
 
 
@@ -324,29 +328,28 @@ def cross_split_overlaps(stories: DataFrame, integrity: DataFrame, options: Cros
     Stories in no split, null ids and null texts and texts with fewer than options.min_letters letters and digits are
     no case. Other columns are ignored. Empty tables give no rows.
     """
-    share = stories.sparkSession.sparkContext.broadcast
     rows = with_role(stories.where("text is not null and story_id is not null").select("story_id", "source", "hub_split", "text"), integrity)
     rows = rows.select(F.col("story_id").alias("id"), "role", "text")
-    tests = rows.where("role <> 'train'")
-    grams = tests.select("text").mapInArrow(_eval_grams(options), "grams binary")
+    tests = rows.where("role <> 'train'").select("text")
+    grams = tests.mapInArrow(_eval_grams(options), "grams binary")
     expected = tests.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("long")).first()[0] // 4
-    order = share(SeedOrder(membership_bitmap(grams, expected, options.max_filter_bytes), slot_counts(grams, options.slots)))
-    evals = tests.mapInArrow(_print_rows(options, order), _PRINT).persist()
-    trains = rows.where("role = 'train'").mapInArrow(_print_rows(options, order), _PRINT).persist()
-    eval_classes, train_classes = Classes(evals), Classes(trains)
+    order = SeedOrder(membership_bitmap(grams, expected, options.max_filter_bytes), slot_counts(grams, options.slots))
+    prints = rows.mapInArrow(_print_rows(options, stories.sparkSession.sparkContext.broadcast(order)), _PRINT).persist()
+    classes = Classes(prints)
+    reps = classes.representatives().select("id", "role", "s1", "s2", "seeds", "few").persist()
     # small, and the result of the costly stages before
-    found = checkpoint(seeds(eval_classes.representatives(), train_classes.representatives(), options))
+    found = checkpoint(seeds(reps.where("role <> 'train'"), reps.where("role = 'train'"), options))
     pairs = membership_bitmap(found, 2 * found.count(), options.max_filter_bytes)
     text = only_possible(stories.where("text is not null and story_id is not null").select(F.col("story_id").alias("id"), "text"), pairs)
-    near = (
+    near = checkpoint(
         found.join(text.select(F.col("id").alias("lo"), F.col("text").alias("eval_text")), "lo")
         .join(text.select(F.col("id").alias("hi"), F.col("text").alias("train_text")), "hi")
         .select("lo", "hi", "eval_text", "train_text")
         .mapInArrow(_verify_rows(options), "lo long, hi long, coverage double")
-        .persist()
     )
-    similar_ones = expand(near, eval_classes.members(near.select("lo"), ["role"]), train_classes.members(near.select("hi"), []), options.hot)
-    same = _same_records(evals, trains, options).withColumn("coverage", F.lit(1.0))
+    members = classes.members(near.select("lo", "hi"), ["role"]).persist()
+    similar_ones = expand(near, members.where("role <> 'train'"), members.where("role = 'train'"), options.hot).drop("r_role")
+    same = _same_records(prints.select("id", "role", "flat", "fields"), options).withColumn("coverage", F.lit(1.0))
     return (
         similar_ones.unionByName(same)
         .where("x <> y")
