@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.wordhash import WordHashes, chunks
+from ..session import checkpoint
 from .charforms import one_form, word_text
 
 
@@ -195,8 +196,9 @@ def _judged(texts: DataFrame, group: str, options: SpamOptions) -> DataFrame:
     middle = lambda c: F.percentile_approx(c, 0.5, 10_000)
     small = texts.select(group).distinct().limit(options.broadcast_rows + 1).count() <= options.broadcast_rows
     hint = F.broadcast if small else (lambda df: df)
-    usual = texts.groupBy(group).agg(middle("cross").alias("usual"))
-    spread = texts.join(hint(usual), group).groupBy(group, "usual").agg(middle(F.abs(F.col("cross") - F.col("usual"))).alias("spread"))
+    # tables of a row for each group, written down so that plans stay small
+    usual = checkpoint(texts.groupBy(group).agg(middle("cross").alias("usual")))
+    spread = checkpoint(texts.join(hint(usual), group).groupBy(group, "usual").agg(middle(F.abs(F.col("cross") - F.col("usual"))).alias("spread")))
     rows = texts.join(hint(spread), group).withColumn("x", F.log2("words") - 7)
     rows = rows.withColumn("prose", F.abs(F.col("cross") - F.col("usual")) <= options.prose * F.greatest("spread", F.lit(options.least[0])))
     # a parabola over the logarithm of the length where there are pages enough, else a constant
@@ -204,13 +206,13 @@ def _judged(texts: DataFrame, group: str, options: SpamOptions) -> DataFrame:
     for y in _MEASURES:
         a = [F.when(F.count("*") >= options.many, c).otherwise(f) for c, f in zip(_trend(y), (middle(y), F.lit(0.0), F.lit(0.0)))]
         fits += [c.alias(f"{y}_{k}") for k, c in enumerate(a)]
-    rows = rows.join(hint(rows.where("prose").groupBy(group).agg(*fits, F.count("*").alias("pages"))), group)
+    rows = rows.join(hint(checkpoint(rows.where("prose").groupBy(group).agg(*fits, F.count("*").alias("pages")))), group)
     for y in _MEASURES:
         rows = rows.withColumn(f"off_{y}", F.col(y) - (F.col(f"{y}_0") + F.col("x") * (F.col(f"{y}_1") + F.col("x") * F.col(f"{y}_2"))))
     # few pages say little about the spread
     doubt = F.sqrt(1 + F.lit(float(options.many)) / F.col("pages"))
     deviation = rows.where("prose").groupBy(group).agg(*((F.greatest(middle(F.abs(F.col(f"off_{y}"))), F.lit(least)) * F.max(doubt)).alias(f"dev_{y}") for y, least in zip(_MEASURES, options.least)))
-    rows = rows.join(hint(deviation), group)
+    rows = rows.join(hint(checkpoint(deviation)), group)
     return rows.select(*texts.columns, "prose", *((F.col(f"off_{y}") / F.col(f"dev_{y}")).alias(f"off_{y}") for y in _MEASURES))
 
 
@@ -232,17 +234,14 @@ def spam_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     An empty table gives no rows.
     """
     rows = _pages(docs, id_col, text_col, lang_col)
-    texts = text_curves(rows, options).persist()
-    # a text under several declared languages is one text for the norms of the language that fits it
-    of = texts.select("lang").distinct()
-    modelled = F.col("declared") == ""
-    known = of.where("lang is not null").select(F.col("lang").alias("declared"), F.lit(True).alias("_known"))
-    texts = texts.join(F.broadcast(known) if known.limit(options.broadcast_rows + 1).count() <= options.broadcast_rows else known, "declared", "left")
-    texts = texts.withColumn("judged", modelled | F.coalesce("_known", F.lit(False))).drop("_known").withColumn("all", F.lit(1)).persist()
+    # numbers of each distinct text, the result of the costly stages
+    texts = checkpoint(text_curves(rows, options))
+    known = texts.where("lang is not null").select(F.col("lang").alias("declared"), F.lit(True).alias("_known")).distinct()
+    texts = texts.join(known, "declared", "left").withColumn("judged", (F.col("declared") == "") | F.coalesce("_known", F.lit(False))).drop("_known").persist()
     far = lambda y: F.abs(F.col(f"off_{y}")) > options.limit
-    by_language = _judged(texts.where("lang is not null"), "lang", options)
     strays = ~F.col("prose") & (F.col("off_divergence") > options.limit)
-    found = by_language.where("judged").where(strays | far("slope") | far("residual"))
-    strange = _judged(texts, "all", options).where("not judged").where(far("slope") | far("residual"))
-    found = found.select("hash", "page", "declared").union(strange.select("hash", "page", "declared"))
+    found = _judged(texts.where("lang is not null"), "lang", options).where("judged").where(strays | far("slope") | far("residual")).select("hash", "page", "declared")
+    if texts.where("not judged").limit(1).count():
+        strange = _judged(texts.withColumn("all", F.lit(1)), "all", options).where("not judged").where(far("slope") | far("residual"))
+        found = found.union(strange.select("hash", "page", "declared"))
     return rows.select("id", "hash", "page", F.col("lang").alias("declared")).join(found, ["hash", "page", "declared"]).select(F.col("id").alias(id_col)).distinct()
