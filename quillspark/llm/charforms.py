@@ -79,15 +79,16 @@ _ODD = re.compile("[^\t\n\r -~À-ÖØ-öø-ÿ–—‘’“”]")
 
 
 #: Characters that look like both I and l.
-_BAR = re.compile("[ӀƖ]")
+_BAR = re.compile("[ӀƖ]+")
 
 
 def _bar(m: re.Match) -> str:
-    """I where a capital would stand (alone, before small letters at a word's beginning, beside capitals), else l."""
-    before, after = m.string[: m.start()][-1:], m.string[m.end() :][:1]
+    """I where a capital would stand (at a word's beginning, beside capitals), else l; a run is read alike but for its
+    beginning of a word before small letters."""
+    before, after, n = m.string[max(0, m.start() - 1) : m.start()], m.string[m.end() : m.end() + 1], m.end() - m.start()
     if before.isalpha():
-        return "I" if before.isupper() and not after.islower() else "l"
-    return "I" if not after.isalpha() or after.islower() or after.isupper() else "l"
+        return ("I" if before.isupper() and not after.islower() else "l") * n
+    return "I" + ("l" if after.islower() else "I") * (n - 1)
 
 
 def one_form(text: str) -> str:

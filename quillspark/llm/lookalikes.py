@@ -12,9 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.skew import join_groups
+from ..operators.skew import expand, join_groups
 from .charforms import count_letters_and_digits, is_ignorable, is_odd, letters_and_digits, one_form, plain_character
-from .classes import expand
 
 #: A token: letters, digits, combining marks and the characters between them that show nothing.
 _TOKEN = re.compile("(?:[^\\W_]|[̀-ͯ­͏؜᠎​-‏‪-‮⁠-⁤︀-️﻿])+")

@@ -18,6 +18,17 @@ def test_one_form():
     assert C.one_form("a\x01b") == "ab"
 
 
+def test_bars_by_their_neighbours():
+    assert C.one_form("Ӏvan ran. Ӏ saw HEӀL, heӀӀo and Ɩt, aƖӀ") == "Ivan ran. I saw HEIL, hello and It, all"
+    assert C.one_form("ӏamp heӏӏo") == "lamp hello"
+
+
+def test_only_greek_and_cyrillic_words_read_v_as_n():
+    assert C.letters_and_digits("vest") != C.letters_and_digits("nest")
+    assert C.letters_and_digits(C.one_form("a νest")) == b"avest"
+    assert C.letters_and_digits(C.one_form("νερό")) == C.letters_and_digits(C.one_form("ΝΕΡΌ"))
+
+
 def test_words_and_letters():
     assert C.words("Don't stop, Ｃafé-42!") == ["dont", "stop", "café", "42"]
     assert C.words("小さな猫が「こんにちは」") == ["小さな猫が", "こんにちは"]

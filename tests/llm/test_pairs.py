@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillspark.llm import charforms as C
 from quillspark.llm.cross_split import CrossSplitOptions, chain, covered, cross_split_overlaps, overlap_pairs, overlap_report
 from quillspark.llm.format_copies import copy_counts, format_copies
-from quillspark.llm.lookalikes import LookalikeTrie, canonical, lookalike_pairs
+from quillspark.llm.lookalikes import LookalikeTrie, canonical, lookalike_pairs, vocabulary
 from quillspark.llm.near_duplicates import NearDuplicateOptions, _whole_runs, block_keys, near_duplicates
 
 WORDS = [a + b for a in ("ba", "ke", "li", "mo", "nu", "pa", "re", "si", "to", "vu") for b in ("n", "r", "st", "d", "lk", "m", "p", "x", "g", "f")]
@@ -164,6 +164,22 @@ def test_trie():
     assert canonical("Тһе реbbⅼе ѕank．", trie, {}) == "The pebble sank."
 
 
+def test_vocabulary_has_what_odd_tokens_may_mean(spark):
+    """Frequent words take no place from a rare one that a token with other characters stands for."""
+    rows = [(k, " ".join(WORDS)) for k in range(5)] + [(9, "Zorblin"), (10, "Ƶoo Zоrblın"), (11, None)]
+    found = vocabulary(spark.createDataFrame(rows, "story_id long, text string"), "text", 3).collect()
+    assert [r["token"] for r in found] == ["Zorblin"]
+
+
+def test_lookalikes_of_a_hot_form(spark):
+    base = " ".join(WORDS[:30])
+    variants = [base, base.replace("a", "а"), base.replace("e", "е"), base.replace(" ", "\u00a0")]
+    rows = [(k, variants[k % 4]) for k in range(40)]
+    expected = sorted((i, j) for i in range(40) for j in range(i + 1, 40) if i % 4 != j % 4)
+    table = spark.createDataFrame(rows, "story_id long, text string")
+    assert pairs(lookalike_pairs(table, hot=3)) == expected
+
+
 def test_chain_and_coverage():
     import numpy as np
 
