@@ -54,27 +54,6 @@ class Classes:
         return alone.unionByName(more.select("rep", "n", "id", *columns))
 
 
-def expand(pairs: DataFrame, left: DataFrame, right: DataFrame, hot: int) -> DataFrame:
-    """Pairs (lo, hi, more columns) of representatives as pairs (x, y) of members of both classes; left and right: members
-    as of Classes.members, whose other columns come out with l_ and r_ before their names. A class of more than hot rows
-    is cut into parts, and each pair of parts is joined on a key of its own."""
-
-    def parts(n) -> Column:
-        return F.ceil(n / F.lit(hot)).cast("int")
-
-    def cut(members: DataFrame, rep: str, part: str, to: str, prefix: str) -> DataFrame:
-        others = [F.col(c).alias(prefix + c) for c in members.columns if c not in ("rep", "n", "id")]
-        return members.select(F.col("rep").alias(rep), F.pmod(F.xxhash64("id"), parts(F.col("n"))).cast("int").alias(part), F.col("id").alias(to), *others)
-
-    def size(members: DataFrame, rep: str, to: str) -> DataFrame:
-        return members.where(F.col("n") > hot).groupBy(F.col("rep").alias(rep)).agg(F.max("n").alias(to))
-
-    steps = lambda n: F.explode(F.sequence(F.lit(0), parts(F.coalesce(n, F.lit(1))) - 1))
-    tiles = pairs.join(size(left, "lo", "_ln"), "lo", "left").join(size(right, "hi", "_rn"), "hi", "left")
-    tiles = tiles.withColumn("_a", steps(F.col("_ln"))).withColumn("_b", steps(F.col("_rn"))).drop("_ln", "_rn")
-    return tiles.join(cut(left, "lo", "_a", "x", "l_"), ["lo", "_a"]).join(cut(right, "hi", "_b", "y", "r_"), ["hi", "_b"]).drop("lo", "hi", "_a", "_b")
-
-
 def same_record() -> Column:
     """Whether both members have the same letters and digits or the same labelled fields."""
     return (F.col("l_flat") == F.col("r_flat")) | F.coalesce(F.col("l_fields") == F.col("r_fields"), F.lit(False))

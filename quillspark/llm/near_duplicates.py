@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions.wordhash import WordHashes, chunks, mix
 from ..operators.bitmap import membership_bitmap, only_possible
-from ..operators.skew import slot_counts
+from ..operators.skew import expand, slot_counts
 from ..session import checkpoint
 from .charforms import count_letters_and_digits, field_key, flat_key, letters_and_digits, one_form, word_key, word_text
-from .classes import Classes, expand, same_record
+from .classes import Classes, same_record
 
 
 @dataclass(frozen=True)
@@ -287,7 +287,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "story_id", text_col: str = "
     """
     table = fingerprint_table(docs, id_col, text_col, options).persist()
     classes = Classes(table)
-    prints = classes.representatives().select("id", "print")
+    prints = classes.representatives().select("id", "print").persist()
     near = checkpoint(candidate_pairs(prints, options))  # small, and the result of the costly stages
     some = only_possible(prints, membership_bitmap(near, 2 * near.count()))
     near = (
@@ -297,7 +297,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "story_id", text_col: str = "
         .mapInArrow(_equal_components(options), "lo long, hi long")
         .persist()
     )
-    found = verified_pairs(near, docs, id_col, text_col, options).persist()
+    found = checkpoint(verified_pairs(near, docs, id_col, text_col, options))
     members = classes.members(found, ["flat", "fields"]).persist()
     both = expand(found, members, members, options.hot).where(~same_record() & (F.col("x") != F.col("y")))
     return both.select(F.least("x", "y").alias("id_lo"), F.greatest("x", "y").alias("id_hi")).distinct()
