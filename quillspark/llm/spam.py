@@ -22,7 +22,8 @@ class SpamOptions:
     rarer words count as this rare, so a model has a bounded size. limit: a page is extreme when its divergence lies so
     many median deviations above prose of its language and length, or its slope or residual so many away from it
     (12 median deviations are 8 standard deviations of a normal distribution). prose: pages within so many median deviations
-    of the language's usual cross entropy are the prose that the others are compared with. many: pages for which the trend
+    of the language's usual cross entropy are the prose that the others are compared with. usual: pages within so many are not
+    flagged by divergence. many: pages for which the trend
     over length is fitted; fewer have a constant. least: floors of the deviations of divergence, slope and residual.
     broadcast_rows: larger models and norms are joined with a shuffle."""
 
@@ -31,6 +32,7 @@ class SpamOptions:
     floor: float = 1e-4
     limit: float = 12.0
     prose: float = 6.0
+    usual: float = 4.0
     many: int = 30
     least: tuple[float, float, float] = (0.05, 0.02, 0.01)
     broadcast_rows: int = 1_000_000
@@ -78,8 +80,8 @@ def _page_rows(options: SpamOptions, models):
     the page the least cross entropy; divergence: the relative entropy of the page's words to that model, in bits."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, known, first, lang, gain = models.value
-        most = -np.log2(options.floor)
+        names, known, first, lang, share_of, pages_of = models.value
+        most, place = -np.log2(options.floor), {x: k for k, x in enumerate(names)}
         for batch in batches:
             for begin, doc, word, n, total in _counted(batch.column(3).to_pylist(), options):
                 pages, row = np.unique(doc, return_inverse=True)
@@ -91,7 +93,12 @@ def _page_rows(options: SpamOptions, models):
                     each = first[at[hit] + 1] - first[at[hit]]
                     entry = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each) + np.repeat(first[at[hit]], each)
                     hit = np.repeat(hit, each)
-                    saved = np.bincount(row[hit] * len(names) + lang[entry], share[hit] * gain[entry], len(pages) * len(names)).reshape(len(pages), len(names))
+                    # a page is compared with the other pages of its declared language
+                    own = np.array([place.get(x, -1) for x in batch.column(2).take(pa.array(begin + pages)).to_pylist()])[row[hit]] == lang[entry]
+                    n_pages = pages_of[lang[entry]]
+                    others = np.where(own, (share_of[entry] * n_pages - share[hit]) / (n_pages - 1), share_of[entry])
+                    gain = np.log2(np.maximum(others, options.floor) / options.floor)
+                    saved = np.bincount(row[hit] * len(names) + lang[entry], share[hit] * gain, len(pages) * len(names)).reshape(len(pages), len(names))
                     best = saved.argmax(1)
                     cross = most - saved[np.arange(len(pages)), best]
                     language = pa.array([names[k] for k in best], pa.string())
@@ -130,26 +137,27 @@ def language_models(pages: DataFrame, options: SpamOptions) -> DataFrame:
     language, for words above options.floor. Each batch sends its sums only."""
     sums = pages.mapInArrow(_language_rows(options), "lang string, word long, share double").where("lang <> ''").groupBy("lang", "word").agg(F.sum("share").alias("share")).persist()
     known = sums.where("word is null").select("lang", F.col("share").alias("pages")).where(F.col("pages") >= options.min_pages)
-    models = sums.where("word is not null").join(known, "lang").select("lang", "word", (F.col("share") / F.col("pages")).alias("share"))
+    models = sums.where("word is not null").join(known, "lang").select("lang", "word", (F.col("share") / F.col("pages")).alias("share"), "pages")
     return models.where(F.col("share") > options.floor)
 
 
-def _gathered(models: DataFrame, options: SpamOptions):
-    """All models as sorted arrays: their words, where the entries of each begin, and each entry's language and what it
-    saves against a word below the floor, in bits. At most 1 / options.floor entries a language."""
+def _gathered(models: DataFrame):
+    """All models as sorted arrays: their words, where the entries of each begin, each entry's language and share, and the
+    languages' pages. At most 1 / options.floor entries a language."""
     rows = models.toArrow()
     names, lang = np.unique(np.array(rows["lang"].to_pylist(), object).astype(str), return_inverse=True)
-    word, gain = rows["word"].to_numpy(), np.log2(rows["share"].to_numpy() / options.floor)
+    word, pages = rows["word"].to_numpy(), np.zeros(len(names))
+    pages[lang] = rows["pages"].to_numpy()
     order = np.argsort(word, kind="stable")
     known, first = np.unique(word[order], return_index=True)
-    return names.tolist(), known, np.append(first, len(word)), lang[order], gain[order]
+    return names.tolist(), known, np.append(first, len(word)), lang[order], rows["share"].to_numpy()[order], pages
 
 
 def text_curves(pages: DataFrame, options: SpamOptions) -> DataFrame:
     """(hash, page, declared, lang, words, slope, residual, cross, divergence): page_curves for each distinct text of pages
     and declared language."""
     pages = distinct_texts(pages).persist()
-    models = pages.sparkSession.sparkContext.broadcast(_gathered(language_models(pages, options), options))
+    models = pages.sparkSession.sparkContext.broadcast(_gathered(language_models(pages, options)))
     counts = pages.mapInArrow(_page_rows(options, models), _PAGE)
     keys = ["hash", "page", "declared"]
     # words that stand on a page equally often share the middle of their ranks
@@ -191,7 +199,7 @@ def _trend(y: str) -> list[Column]:
 
 
 def _judged(texts: DataFrame, group: str, options: SpamOptions) -> DataFrame:
-    """texts with prose, whether their cross entropy is usual in their group (a column), and off_divergence, off_slope and
+    """texts with as_usual, whether their cross entropy is usual in their group (a column), and off_divergence, off_slope and
     off_residual: how far each is from the prose of the group at its length, in median deviations."""
     middle = lambda c: F.percentile_approx(c, 0.5, 10_000)
     small = texts.select(group).distinct().limit(options.broadcast_rows + 1).count() <= options.broadcast_rows
@@ -200,7 +208,8 @@ def _judged(texts: DataFrame, group: str, options: SpamOptions) -> DataFrame:
     usual = checkpoint(texts.groupBy(group).agg(middle("cross").alias("usual")))
     spread = checkpoint(texts.join(hint(usual), group).groupBy(group, "usual").agg(middle(F.abs(F.col("cross") - F.col("usual"))).alias("spread")))
     rows = texts.join(hint(spread), group).withColumn("x", F.log2("words") - 7)
-    rows = rows.withColumn("prose", F.abs(F.col("cross") - F.col("usual")) <= options.prose * F.greatest("spread", F.lit(options.least[0])))
+    off = F.abs(F.col("cross") - F.col("usual")) / F.greatest("spread", F.lit(options.least[0]))
+    rows = rows.withColumn("prose", off <= options.prose).withColumn("as_usual", off <= options.usual)
     # a parabola over the logarithm of the length where there are pages enough, else a constant
     fits = []
     for y in _MEASURES:
@@ -213,7 +222,7 @@ def _judged(texts: DataFrame, group: str, options: SpamOptions) -> DataFrame:
     doubt = F.sqrt(1 + F.lit(float(options.many)) / F.col("pages"))
     deviation = rows.where("prose").groupBy(group).agg(*((F.greatest(middle(F.abs(F.col(f"off_{y}"))), F.lit(least)) * F.max(doubt)).alias(f"dev_{y}") for y, least in zip(_MEASURES, options.least)))
     rows = rows.join(hint(checkpoint(deviation)), group)
-    return rows.select(*texts.columns, "prose", *((F.col(f"off_{y}") / F.col(f"dev_{y}")).alias(f"off_{y}") for y in _MEASURES))
+    return rows.select(*texts.columns, "as_usual", *((F.col(f"off_{y}") / F.col(f"dev_{y}")).alias(f"off_{y}") for y in _MEASURES))
 
 
 def spam_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", options: SpamOptions = SpamOptions()) -> DataFrame:
@@ -239,7 +248,7 @@ def spam_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = texts.where("lang is not null").select(F.col("lang").alias("declared"), F.lit(True).alias("_known")).distinct()
     texts = texts.join(known, "declared", "left").withColumn("judged", (F.col("declared") == "") | F.coalesce("_known", F.lit(False))).drop("_known").persist()
     far = lambda y: F.abs(F.col(f"off_{y}")) > options.limit
-    strays = ~F.col("prose") & (F.col("off_divergence") > options.limit)
+    strays = ~F.col("as_usual") & (F.col("off_divergence") > options.limit)
     found = _judged(texts.where("lang is not null"), "lang", options).where("judged").where(strays | far("slope") | far("residual")).select("hash", "page", "declared")
     if texts.where("not judged").limit(1).count():
         strange = _judged(texts.withColumn("all", F.lit(1)), "all", options).where("not judged").where(far("slope") | far("residual"))
