@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -166,6 +168,11 @@ def byte_tokens(text: Column) -> Column:
     return F.transform(digits, lambda h: F.conv(h, 16, 10).cast("int") + 2)
 
 
+def byte_ids(texts: pa.Array) -> Iterator[np.ndarray]:
+    """byte_tokens of UTF-8 texts in an Arrow column of type BINARY."""
+    return (np.frombuffer(x, np.uint8).astype(np.int32) + 2 for x in texts.to_pylist())
+
+
 def slug(text: Column) -> Column:
     """Lower case, each run of other characters than a-z and 0-9 a hyphen, none at the ends."""
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")

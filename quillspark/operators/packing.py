@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import byte_ids
 from ..session import checkpoint
 
 
 _BEFORE = (Window.unboundedPreceding, -1)
+#: Tokens that a Python worker holds before it puts blocks out.
+_AT_ONCE = 1 << 20
 
 
 def _slices(rows: DataFrame) -> int:
@@ -16,34 +24,117 @@ def _slices(rows: DataFrame) -> int:
     return max(256, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def token_offsets(docs: DataFrame, id_col: str = "id", tokens_col: str = "tokens") -> DataFrame:
-    """docs with start, the place of each document in the stream of all documents by id, each followed by one token
-    that ends it; ids are unique. A prefix sum in two levels over ids and lengths alone: within ranges of about equally
-    many documents, whatever their ids, and over the ranges' sums. Token arrays only meet their offsets, by id."""
-    lengths = docs.select(F.col(id_col), (F.size(tokens_col) + 1).cast("long").alias("_length")).repartitionByRange(id_col)
+def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
+
+
+def _arrays(column: pa.Array) -> Iterator[np.ndarray]:
+    """The arrays of a list column without nulls."""
+    values, ends = column.flatten().to_numpy(), np.cumsum(column.value_lengths().to_numpy())
+    return (values[a:b] for a, b in zip([0, *ends[:-1]], ends))
+
+
+@dataclass(frozen=True)
+class Tokens:
+    """How a column holds tokens: their number, a part of them (from a place on, so many), and their values as numpy arrays."""
+
+    size: Callable[[Column], Column]
+    part: Callable[[Column, Column, Column], Column]
+    read: Callable[[pa.Array], Iterator[np.ndarray]]
+
+
+ARRAYS = Tokens(F.size, F.slice, _arrays)
+#: UTF-8 texts, as BINARY, of the byte tokenizer: they become tokens only where blocks are made.
+BYTES = Tokens(F.octet_length, F.substring, byte_ids)
+
+
+def _starts(lengths: DataFrame, id_col: str) -> DataFrame:
+    """(id, _length, start) of documents (id, _length): a prefix sum in two levels over ids and lengths alone: within ranges
+    of about equally many documents, whatever their ids, and over the ranges' sums."""
+    order = F.col(id_col).asc_nulls_last()
     # the ranges are a matter of how the rows were shuffled, so they are written down
-    rows = checkpoint(lengths.withColumn("_part", F.spark_partition_id()))
+    rows = checkpoint(lengths.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
     sums = rows.groupBy("_part").agg(F.sum("_length").alias("_sum"))
     base = sums.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(*_BEFORE)), F.lit(0)).alias("_base"))
-    inside = F.coalesce(F.sum("_length").over(Window.partitionBy("_part").orderBy(id_col).rowsBetween(*_BEFORE)), F.lit(0))
+    inside = F.coalesce(F.sum("_length").over(Window.partitionBy("_part").orderBy(order).rowsBetween(*_BEFORE)), F.lit(0))
     # a row for each task of the shuffle above
-    offsets = rows.withColumn("_inside", inside).join(F.broadcast(base), "_part").select(id_col, (F.col("_base") + F.col("_inside")).alias("start"))
-    return docs.join(offsets, id_col)
-
-
-def pack_blocks(docs: DataFrame, block_size: int = 512, eos: int = 0, id_col: str = "id", tokens_col: str = "tokens") -> DataFrame:
-    """(block_id, tokens): the stream of all documents, each ended by eos, cut into blocks of block_size; a last block
-    that is not full is dropped. What is shuffled is one slice for each document and block, not each token."""
-    placed = token_offsets(docs, id_col, tokens_col).withColumn("_stream", F.concat(F.col(tokens_col), F.array(F.lit(eos))))
-    size = F.lit(block_size).cast("long")
-    last = F.col("start") + F.size("_stream") - 1
-    blocks = placed.select("start", "_stream", F.explode(F.sequence(F.expr(f"start div {block_size}"), F.floor(last / size))).alias("block_id"))
-    begin = F.greatest(F.col("block_id") * size - F.col("start"), F.lit(0))
-    place = F.greatest(F.col("start") - F.col("block_id") * size, F.lit(0))
-    piece = F.slice("_stream", (begin + 1).cast("int"), (size - place).cast("int"))
-    pieces = blocks.select("block_id", F.struct(place.alias("place"), piece.alias("piece")).alias("p"))
-    whole = pieces.groupBy("block_id").agg(F.sort_array(F.collect_list("p")).alias("ps"))
-    return whole.select("block_id", F.flatten(F.transform("ps", lambda p: p["piece"])).alias("tokens")).where(F.size("tokens") == block_size)
+    return rows.withColumn("_inside", inside).join(F.broadcast(base), "_part").select(id_col, "_length", (F.col("_base") + F.col("_inside")).alias("start"))
+
+
+def token_offsets(docs: DataFrame, id_col: str = "id", tokens_col: str = "tokens", tokens: Tokens = ARRAYS) -> DataFrame:
+    """docs with start, the place of each document in the stream of all documents by id, each followed by one token
+    that ends it; ids are unique. Token arrays only meet their offsets, by id."""
+    starts = _starts(docs.select(F.col(id_col), (tokens.size(F.col(tokens_col)) + 1).cast("long").alias("_length")), id_col)
+    return docs.join(starts.drop("_length"), id_col)
+
+
+def _blocks_of(block_size: int, eos: int, width: int, last: int, read: Callable[[pa.Array], Iterator[np.ndarray]]):
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end = np.array([eos], np.int32)
+        now, number, held, parts = -1, 0, 0, []
+
+        def full() -> Iterator[pa.RecordBatch]:
+            nonlocal number, held, parts
+            if whole := held // block_size:
+                stream = np.concatenate(parts)
+                cut = whole * block_size
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(number, number + whole)), _lists(stream[:cut], np.full(whole, block_size))], names=["block_id", "tokens"])
+                # a copy, so the rest of a block doesn't keep the stream
+                number, held, parts = number + whole, held - cut, [stream[cut:].copy()]
+
+        def over() -> Iterator[pa.RecordBatch]:
+            yield from full()
+            if held and now != last:
+                raise ValueError("tokens of a range don't end where its last block does: ids repeat")
+
+        for batch in batches:
+            for at, ended, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), read(batch.column(2))):
+                if at != now:
+                    yield from over()
+                    now, number, held, parts = at, at * width, 0, []
+                parts += [tokens, end] if ended else [tokens]
+                held += len(tokens) + ended
+                if held >= max(_AT_ONCE, block_size):
+                    yield from full()
+        yield from over()
+
+    return blocks
+
+
+def pack_blocks(docs: DataFrame, block_size: int = 512, eos: int = 0, id_col: str = "id", tokens_col: str = "tokens", tokens: Tokens = ARRAYS) -> DataFrame:
+    """(block_id, tokens): the stream of all documents by id, each ended by eos, cut into blocks of block_size; a last block
+    that is not full is dropped; ids are unique, documents without tokens (null) are left out. The stream is cut into
+    ranges of whole blocks. Ids and lengths tell which documents stand where ranges begin, a few hundred; by these each
+    document finds its range, so tokens are shuffled once, and one that reaches into several ranges in parts."""
+    docs = docs.where(F.col(tokens_col).isNotNull()).select(id_col, tokens_col)
+    starts = _starts(docs.select(id_col, (tokens.size(F.col(tokens_col)) + 1).cast("long").alias("_length")), id_col)
+    total = starts.agg(F.max(F.col("start") + F.col("_length"))).first()[0] or 0
+    width = max(1, -(-total // (block_size * _slices(docs))))
+    size = width * block_size
+    step = F.lit(size).cast("long")
+    bounds = sorted(starts.where(F.expr(f"(start + {size - 1}) div {size} * {size} < start + _length")).collect(), key=lambda r: r["start"])
+    schema = "block_id long, tokens array<int>"
+    if total < block_size:
+        return docs.sparkSession.createDataFrame([], schema)
+    kind = docs.schema[id_col].dataType
+    ident = F.col(id_col)
+    # how many ranges' first documents stand before a document, or are it; null is the last id
+    upto = F.size(F.filter(F.array(*(F.lit(r[id_col]).cast(kind) for r in bounds)), lambda b: F.coalesce(b <= ident, ident.isNull())))
+
+    def of(values: list) -> Column:
+        return F.element_at(F.array(*map(F.lit, values)), F.col("_upto"))
+
+    near = docs.withColumn("_upto", upto)
+    near = near.select(id_col, tokens_col, of([r[id_col] for r in bounds]).cast(kind).eqNullSafe(ident).alias("_first"), of([r["start"] for r in bounds]).cast("long").alias("_start"), of([r["start"] + r["_length"] for r in bounds]).cast("long").alias("_end"))
+    last = F.expr(f"(_end - 1) div {size}")
+    ranged = near.withColumn("_range", F.explode(F.sequence(F.when(F.col("_first"), F.expr(f"_start div {size}")).otherwise(last), last)))
+    begin = F.greatest(F.col("_range") * step - F.col("_start"), F.lit(0))
+    stop = F.least((F.col("_range") + 1) * step, F.col("_end"))
+    part = tokens.part(F.col(tokens_col), (begin + 1).cast("int"), (stop - F.col("_start") - begin).cast("int"))
+    pieces = ranged.select("_range", id_col, F.when(F.col("_first"), stop == F.col("_end")).otherwise(F.lit(True)).alias("_ended"), F.when(F.col("_first"), part).otherwise(F.col(tokens_col)).alias("_part"))
+    placed = pieces.repartition("_range").sortWithinPartitions(F.col("_range"), ident.asc_nulls_last()).select("_range", "_ended", "_part")
+    return placed.mapInArrow(_blocks_of(block_size, eos, width, (total - 1) // size, tokens.read), schema)
 
 
 def packing_stats(docs: DataFrame, block_size: int = 512, text_col: str = "text", tokens_col: str = "tokens") -> DataFrame:

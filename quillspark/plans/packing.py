@@ -23,6 +23,11 @@ def byte_documents(spark: SparkSession, folder: str) -> DataFrame:
     return _texts(spark, folder).withColumn("tokens", byte_tokens(F.col("text")))
 
 
+def byte_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks of byte_documents; texts become tokens where blocks are made."""
+    return packing.pack_blocks(_texts(spark, folder).select("id", F.col("text").cast("binary").alias("bytes")), _BLOCK, tokens_col="bytes", tokens=packing.BYTES)
+
+
 def byte_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     rows = byte_documents(spark, folder)
     return rows.select(F.col("id").alias("doc_id"), F.size("tokens").alias("tokens"), F.aggregate("tokens", F.lit(0).cast("long"), lambda s, t: s + t).alias("token_sum"))
@@ -33,7 +38,7 @@ def token_offsets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pack_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    blocks = packing.pack_blocks(byte_documents(spark, folder), _BLOCK)
+    blocks = byte_blocks(spark, folder)
     return blocks.select("block_id", F.md5(F.array_join(F.transform("tokens", lambda t: t.cast("string")), ",")).alias("tokens_md5"))
 
 
@@ -42,12 +47,12 @@ def packing_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def split_at_eos(spark: SparkSession, folder: str) -> DataFrame:
-    found = packing.split_at_eos(packing.pack_blocks(byte_documents(spark, folder), _BLOCK), _BLOCK)
+    found = packing.split_at_eos(byte_blocks(spark, folder), _BLOCK)
     return found.select("document", F.size("tokens").alias("tokens"))
 
 
 def eos_positions(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.eos_positions(packing.pack_blocks(byte_documents(spark, folder), _BLOCK), _BLOCK)
+    return packing.eos_positions(byte_blocks(spark, folder), _BLOCK)
 
 
 def byte_diagnostics(spark: SparkSession, folder: str) -> DataFrame:

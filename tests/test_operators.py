@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import byte_tokens, content_hash
 from quillspark.operators import lexical, memorization, minhash, ngrams, packing, planning, reports, retrieval, splits, tokenizer, tracking
+from quillspark.plans.queries import queries
 
 
 def story(k: int) -> str:
@@ -139,6 +140,46 @@ def test_packing_equals_brute_force(spark, size):
     assert packing.eos_positions(blocks, size).count() == stream.count(0)
 
 
+def written(spark, query) -> int:
+    """Bytes that computing a query writes to shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def total() -> int:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = store.executorList(True)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    before = total()
+    query.write.format("noop").mode("overwrite").save()
+    return total() - before
+
+
+def byte_documents(spark, folder, count: int = 2_000) -> int:
+    """Writes documents of random digits, which a shuffle can't make much smaller; returns their bytes."""
+    text = F.concat(*(F.sha2(F.concat("id", F.lit(f" {k}")), 512) for k in range(16)))
+    spark.range(count).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), text.alias("text")).write.parquet(f"{folder}/documents.parquet")
+    return count * 16 * 128
+
+
+def test_packing_shuffles_texts_once(spark, tmp_path):
+    size = byte_documents(spark, tmp_path)
+    assert written(spark, queries()["pack_blocks"](spark, str(tmp_path))) < size
+
+
+@pytest.mark.parametrize("tokens", [packing.ARRAYS, packing.BYTES], ids=["arrays", "bytes"])
+def test_packing_in_ranges(spark, tokens):
+    """A document over many ranges, empty ones, null tokens, a null id as the last."""
+    texts = [("a", b"x" * 7), ("b", bytes(range(65, 91)) * 300), ("c", b""), ("d", None), ("e", b"yz"), (None, b"last")]
+    docs = [[b + 2 for b in x] for _, x in texts if x is not None]
+    table = spark.createDataFrame(texts[::-1], "id string, bytes binary")
+    if tokens is packing.ARRAYS:
+        table = spark.createDataFrame([(k, None if x is None else [b + 2 for b in x]) for k, x in texts[::-1]], "id string, bytes array<int>")
+    for size in (1, 7, 64):
+        rows = sorted(packing.pack_blocks(table, size, tokens_col="bytes", tokens=tokens).collect())
+        assert [list(r["tokens"]) for r in rows] == brute_pack(docs, size)
+        assert [r["block_id"] for r in rows] == list(range(len(rows)))
+
+
 def test_packing_of_nothing(spark):
     none = spark.createDataFrame([], "id long, tokens array<int>")
     assert packing.pack_blocks(none, 4).count() == 0
