@@ -15,8 +15,11 @@ from ..session import checkpoint
 
 
 _BEFORE = (Window.unboundedPreceding, -1)
-#: Tokens that a Python worker holds before it puts blocks out.
+#: Tokens that a Python worker holds before it puts blocks out, and tokens of a run of blocks in split_at_eos.
 _AT_ONCE = 1 << 20
+_RUN = 1 << 17
+#: Runs of a group of the two-level sum over runs.
+_GROUP = 1 << 10
 
 
 def _slices(rows: DataFrame) -> int:
@@ -171,23 +174,85 @@ def eos_positions(blocks: DataFrame, block_size: int, eos: int = 0) -> DataFrame
     return stream_tokens(blocks, block_size).where(F.col("token") == eos).select("position")
 
 
+def _width(values: np.ndarray) -> str:
+    """The least type that holds all tokens."""
+    low, high = values.min(initial=0), values.max(initial=0)
+    return "<i4" if low < 0 or high >= 1 << 16 else "<u2" if high >= 1 << 8 else "<u1"
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        values = batch.column(1).flatten().to_numpy()
+        kind = _width(values)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([kind] * len(batch), pa.string()), pa.array([x.astype(kind).tobytes() for x in _arrays(batch.column(1))], pa.binary())], names=["block_id", "kind", "data"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(run, base, tokens) of rows (run, base, kind, data) in order of runs and blocks."""
+    now, parts = None, []
+    for batch in batches:
+        for run, base, kind, data in zip(*(c.to_pylist() for c in batch.columns)):
+            if now != (run, base):
+                if parts:
+                    yield *now, np.concatenate(parts)
+                now, parts = (run, base), []
+            parts.append(np.frombuffer(data, kind).astype(np.int32))
+    if parts:
+        yield *now, np.concatenate(parts)
+
+
+def _ends(eos: int):
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs, kinds, data = (batch.column(c).to_pylist() for c in ("_run", "kind", "data"))
+            yield pa.RecordBatch.from_arrays([pa.array(runs, pa.int64()), pa.array([int((np.frombuffer(x, k) == eos).sum()) for k, x in zip(kinds, data)], pa.int64())], names=["_run", "_n"])
+
+    return ends
+
+
+def _whole(eos: int):
+    """(document, tokens) of documents that begin and end in a run."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, base, stream in _runs(batches):
+            ends = np.flatnonzero(stream == eos)
+            if len(ends) > 1:
+                lengths = np.diff(ends) - 1
+                inner = stream[ends[0] + 1 : ends[-1]]
+                yield pa.RecordBatch.from_arrays([pa.array(base + 1 + np.flatnonzero(lengths)), _lists(inner[inner != eos], lengths[lengths > 0])], names=["document", "tokens"])
+
+    return whole
+
+
+def _edges(eos: int):
+    """(document, run, tokens, ended) of what stands before the first end of a run and behind the last."""
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run, base, stream in _runs(batches):
+            ends = np.flatnonzero(stream == eos)
+            found = [(base, stream[: ends[0]], True), (base + len(ends), stream[ends[-1] + 1 :], False)] if len(ends) else [(base, stream, False)]
+            numbers, pieces, ended = zip(*found)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array([run] * len(found), pa.int64()), _lists(np.concatenate(pieces), np.array([*map(len, pieces)])), pa.array(ended)], names=["document", "run", "tokens", "ended"])
+
+    return edges
+
+
 def split_at_eos(blocks: DataFrame, block_size: int, eos: int = 0) -> DataFrame:
     """(document, tokens): the documents of packed blocks, numbered from 0 in order of the stream; empty ones and a
-    last one without an end are left out. Each block is cut by itself; pieces that meet at a block's edge are joined by
-    the number of ends before them."""
-    ends = F.size(F.filter("tokens", lambda t: t == eos))
-    counted = blocks.withColumn("_ends", ends.cast("long"))
-    # ends before each block: a prefix sum over ranges of blocks, as in token_offsets
-    width = blocks.agg(F.ceil((F.max("block_id") + 1) / F.lit(float(_slices(blocks)))).alias("_width"))
-    part = counted.crossJoin(F.broadcast(width)).withColumn("_part", F.floor(F.col("block_id") / F.col("_width"))).drop("_width")
-    base = part.groupBy("_part").agg(F.sum("_ends").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_base")
-    inside = F.coalesce(F.sum("_ends").over(Window.partitionBy("_part").orderBy("block_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = part.withColumn("_inside", inside).join(F.broadcast(base), "_part").withColumn("_before", F.col("_base") + F.col("_inside"))
-    # the places of ends in a block, with one before its first and one after its last token, bound its pieces
-    places = F.filter(F.sequence(F.lit(1), F.size("tokens")), lambda i: F.element_at("tokens", i) == eos)
-    bounded = placed.withColumn("_at", F.concat(F.array(F.lit(0)), places, F.array(F.size("tokens") + 1)))
-    cut = F.transform(F.sequence(F.lit(1), F.size("_at") - 1), lambda k: F.slice("tokens", F.element_at("_at", k) + 1, F.element_at("_at", k + 1) - F.element_at("_at", k) - 1))
-    pieces = bounded.select("block_id", "_before", "_ends", F.posexplode(cut).alias("k", "piece"))
-    docs = pieces.select((F.col("_before") + F.col("k")).alias("document"), "block_id", "piece", (F.col("k") < F.col("_ends")).alias("ended"))
-    joined = docs.groupBy("document").agg(F.array_sort(F.collect_list(F.struct("block_id", "piece"))).alias("ps"), F.bool_or("ended").alias("ended"))
-    return joined.where("ended").select("document", F.flatten(F.transform("ps", lambda p: p["piece"])).alias("tokens")).where(F.size("tokens") > 0)
+    last one without an end are left out. Runs of neighbouring blocks are gathered, their tokens in as few bytes as hold
+    them, and cut by themselves; only what reaches over a run's edge is shuffled again, by the number of ends before it."""
+    packed = blocks.select("block_id", "tokens").mapInArrow(_packed, "block_id long, kind string, data binary")
+    placed = packed.withColumn("_run", F.expr(f"block_id div {max(1, _RUN // block_size)}")).repartition("_run")
+    # read by Python whole, so the shuffle is the one that the documents are cut from
+    counts = placed.mapInArrow(_ends(eos), "_run long, _n long").groupBy("_run").agg(F.sum("_n").alias("_n")).withColumn("_group", F.expr(f"_run div {_GROUP}"))
+    # ends before each run: a prefix sum in two levels; a row for each group of runs
+    sums = counts.groupBy("_group").agg(F.sum("_n").alias("_sum"))
+    base = sums.select("_group", F.coalesce(F.sum("_sum").over(Window.orderBy("_group").rowsBetween(*_BEFORE)), F.lit(0)).alias("_base"))
+    inside = F.coalesce(F.sum("_n").over(Window.partitionBy("_group").orderBy("_run").rowsBetween(*_BEFORE)), F.lit(0))
+    before = counts.withColumn("_inside", inside).join(F.broadcast(base), "_group").select("_run", (F.col("_base") + F.col("_inside")).alias("_before"))
+    # every run is in before; an inner join would put a filter below the shuffle and so make it another one
+    ordered = placed.join(before, "_run", "left").sortWithinPartitions("_run", "block_id").select("_run", "_before", "kind", "data")
+    whole = ordered.mapInArrow(_whole(eos), "document long, tokens array<int>")
+    edges = ordered.mapInArrow(_edges(eos), "document long, run long, tokens array<int>, ended boolean")
+    joined = edges.groupBy("document").agg(F.array_sort(F.collect_list(F.struct("run", "tokens"))).alias("ps"), F.bool_or("ended").alias("ended"))
+    return whole.unionByName(joined.where("ended").select("document", F.flatten(F.transform("ps", lambda p: p["tokens"])).alias("tokens")).where(F.size("tokens") > 0))

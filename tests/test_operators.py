@@ -166,6 +166,22 @@ def test_packing_shuffles_texts_once(spark, tmp_path):
     assert written(spark, queries()["pack_blocks"](spark, str(tmp_path))) < size
 
 
+def test_splitting_shuffles_blocks_once(spark, tmp_path):
+    size = byte_documents(spark, tmp_path)
+    assert written(spark, queries()["split_at_eos"](spark, str(tmp_path))) < 2 * size
+
+
+def test_splitting_over_runs(spark, monkeypatch):
+    """Documents over several runs of blocks, empty ones, large and negative tokens, one without an end."""
+    monkeypatch.setattr(packing, "_RUN", 8)
+    monkeypatch.setattr(packing, "_GROUP", 2)
+    stream = [7, 0, 0, *range(1, 40), 0, -3, 70_000, 0, 300, 0, *[5] * 30, 0, 9, 0, 0, 4, 4, 4, 4]
+    stream += [4] * (-len(stream) % 4)
+    blocks = spark.createDataFrame([(k // 4, stream[k : k + 4]) for k in range(0, len(stream), 4)][::-1], "block_id long, tokens array<int>")
+    found = {r["document"]: list(r["tokens"]) for r in packing.split_at_eos(blocks, 4).collect()}
+    assert found == {0: [7], 2: [*range(1, 40)], 3: [-3, 70_000], 4: [300], 5: [5] * 30, 6: [9]}
+
+
 @pytest.mark.parametrize("tokens", [packing.ARRAYS, packing.BYTES], ids=["arrays", "bytes"])
 def test_packing_in_ranges(spark, tokens):
     """A document over many ranges, empty ones, null tokens, a null id as the last."""
